@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import enrichment, neardup, sampling
+from foliospark.llm import bpe, enrichment, leakage, neardup, sampling
 from foliospark.sources.tables import table
 
 
@@ -46,7 +46,20 @@ def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     return enrichment.distinctive(table(spark, sf, "document_store")).select("field", "id", "term", "tf", "df", "cf", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_groups, p4_found, p4_scores)}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(table(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items with the number of documents that hold part of them."""
+    return p9_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_groups, p4_found, p4_scores, p8_ids, p9_found, p9_items)}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
 
@@ -76,7 +89,17 @@ WITH texts AS (
 )
 """
 
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
+ds AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+es AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12)),
+found AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN es USING (s))
+"""
+
 SQL = {
+    "p9_found": _LEAKS + "SELECT doc_id, item_id FROM found",
+    "p9_items": _LEAKS + "SELECT item_id, count(*) AS n_docs FROM found GROUP BY item_id",
     "p2_found": _NEED + "SELECT category FROM r WHERE available < needed",
     "p2_report": _NEED + "SELECT category, needed, available, least(needed, available) AS sampled, greatest(needed - available, 0) AS shortfall, least(needed, available) - needed AS residual FROM r",
     "p3_found": _PAIRS + "SELECT DISTINCT tab, id_a, id_b FROM inter WHERE c >= 0.6 * (n_a + n_b - c)",

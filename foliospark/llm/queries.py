@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, enrichment, leakage, neardup, sampling
+from foliospark.llm import bpe, enrichment, leakage, neardup, pii, sampling
 from foliospark.sources.tables import table
 
 
@@ -59,7 +59,15 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return p9_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_groups, p4_found, p4_scores, p8_ids, p9_found, p9_items)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.items(table(spark, sf, "documents"), table(spark, sf, "name_list"))
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_groups, p4_found, p4_scores, p8_ids, p9_found, p9_items, p10_found, p10_redacted)}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.fields import searchable_tokens
+from foliospark.functions.json_tree import _Number, _Object, parse
 from foliospark.functions.text import tag_keys
-from foliospark.operators.nested import _Number, _Object, parse
 
 FLAT = "id string, path string, kind string, text string, number double"
 _FLAT_ARROW = pa.schema([("id", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("number", pa.float64())])

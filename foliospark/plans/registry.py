@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from foliospark.plans import problems
+from foliospark.plans import problems, reference
 
-_MODULES = (problems,)
+_MODULES = (reference, problems)
 
 
 def queries() -> dict[str, Callable]:

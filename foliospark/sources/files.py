@@ -6,9 +6,11 @@ import datetime as dt
 import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions.json_tree import _Number, _Object, parse
 from foliospark.sources.numbering import numbered
 from foliospark.sources.schema import NEWS, WAL
 
@@ -62,12 +64,21 @@ def load_json(spark: SparkSession, path: str, max_docs: int | None = None) -> tu
     return docs, LoadStats(path, file.n or 0, file.sha or "", n, bad, max_docs is not None and n >= max_docs)
 
 
+def _without_nulls(value) -> str:
+    if isinstance(value, _Object):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_without_nulls(v)}" for k, v in value if v is not None) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_without_nulls, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def _drop_nulls(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _without_nulls(parse(t)))
+
+
 def drop_null_properties(data_json: Column) -> Column:
-    """A JSON object without its null properties, top level and below."""
-    stripped = data_json
-    for _ in range(2):  # neighbours share a comma, so a second pass takes those the first one skipped
-        stripped = F.regexp_replace(stripped, r'("(?:[^"\\]|\\.)*")\s*:\s*null\s*,\s*', "")
-    return F.regexp_replace(F.regexp_replace(stripped, r',\s*"(?:[^"\\]|\\.)*"\s*:\s*null(?=\s*[,}])', ""), r'(?<=\{)\s*"(?:[^"\\]|\\.)*"\s*:\s*null\s*(?=\})', "")
+    """A JSON text without null properties at any depth; nulls in lists and the text of numbers stay."""
+    return F.pandas_udf(_drop_nulls, "string")(data_json)
 
 
 def to_json_array(lines: DataFrame) -> DataFrame:

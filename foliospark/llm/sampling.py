@@ -21,7 +21,7 @@ from foliospark.functions.text import folded
 from foliospark.sources.tables import stage
 
 #: Articles in a bucket of the first flight, about; buckets that merge into one of the next level.
-BUCKET_ROWS = 65_536
+BUCKET_ROWS = 8_192
 FAN_IN = 64
 
 _FLOWN = "key string, cat string, psi long, size long, bucket long, draw long"

@@ -31,7 +31,7 @@ BATCHES = 4
 MISS = 1e-4
 SEED = 20_250_101
 
-_CHUNK = 8_192  # words hashed at a time
+_CHUNK = 4_096  # words hashed at a time
 _SIGNED = "cid long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(BATCHES))
 
 
@@ -43,23 +43,25 @@ def _family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
 
 def minhashes(flat: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """MinHashes (sets x functions) of sets of 64-bit values laid end to end; no set may be empty."""
-    values, inverse = np.unique(flat, return_inverse=True)
     out = np.empty((len(starts), len(a)), np.uint32)
     ends = np.append(starts[1:], len(flat))
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, "right")))
-        part = inverse[starts[lo] : ends[hi - 1]]
-        used, local = np.unique(part, return_inverse=True)
-        hashed = (((values[used][:, None] ^ b) * a) >> np.uint64(32)).astype(np.uint32)
-        if hi - lo == 1:
-            out[lo] = hashed.min(axis=0)
+        if hi - lo == 1:  # one set, maybe a very large one
+            cuts = range(starts[lo], ends[lo], _CHUNK)
+            out[lo] = np.min([_hashed(flat[c : min(c + _CHUNK, ends[lo])], a, b).min(axis=0) for c in cuts], axis=0)
         else:
-            out[lo:hi] = np.minimum.reduceat(hashed[local], starts[lo:hi] - starts[lo], axis=0)
+            used, local = np.unique(flat[starts[lo] : ends[hi - 1]], return_inverse=True)
+            out[lo:hi] = np.minimum.reduceat(_hashed(used, a, b)[local], starts[lo:hi] - starts[lo], axis=0)
         lo = hi
     return out
 
 
+def _hashed(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (((values[:, None] ^ b) * a) >> np.uint64(32)).astype(np.uint32)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = _family(BANDS * ROWS + BATCHES * 64)
     mixers = _family(BANDS * ROWS, SEED + 1)[0].reshape(BANDS, ROWS)

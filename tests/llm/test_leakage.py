@@ -5,10 +5,12 @@ from foliospark.llm import leakage
 
 
 def brute(docs, items):
-    words = lambda t: re.findall(r"[^\W_]{2,}", (t or "").lower())
-    runs = lambda t: {tuple(words(t)[i : i + 12]) for i in range(len(words(t)) - 11)}
+    def runs(t):
+        words = re.findall(r"[^\W_]{2,}", (t or "").lower())
+        return {tuple(words[i : i + 12]) for i in range(len(words) - 11)}
+
     held = [(i, runs(p)) for i, p in items]
-    return {(d, i) for d, t in docs for i, r in held if r & runs(t)}
+    return {(d, i) for d, t in docs for own in [runs(t)] for i, r in held if r & own}
 
 
 def make(seed, n_docs=400, vocabulary=60):

@@ -81,9 +81,10 @@ def _log_p(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -
 
 
 def occurrences(docs: DataFrame, key: str, field: str, terms: Column) -> DataFrame:
-    """``id, term, tf``: how often each term occurs in each record. Repeated rows count once."""
+    """``field, id, term, tf``: how often each term occurs in each record. Repeated rows count once."""
     rows = docs.select(F.col(key).alias("id"), field).where(F.col("id").isNotNull() & F.col(field).isNotNull()).distinct()
-    return rows.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counted = rows.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return counted.select(F.lit(field).alias("field"), "id", "term", "tf")
 
 
 def content_terms(docs: DataFrame) -> DataFrame:
@@ -96,28 +97,29 @@ def tag_terms(docs: DataFrame) -> DataFrame:
 
 
 def enrich(tf: DataFrame) -> DataFrame:
-    """``id, term, tf, df, cf, p_log, q_log, score`` for every pair of record and term.
+    """``field, id, term, tf, df, cf, p_log, q_log, score`` for every pair of record and term of each field.
 
-    ``tf`` has ``id, term, tf``, a row for each pair. ``df`` is the number of records with the term, ``cf`` its
-    occurrences in all. ``q_log`` is the logarithm of the probability adjusted after Benjamini and Hochberg over all
-    pairs, ``score`` is ``-q_log``: 0 for a term as common in the record as anywhere. An empty input gives no rows.
-    Terms are joined with their counts by the term; a hot term's rows are split by the engine's skew handling, as the
-    other side has one row for each term.
+    ``tf`` has ``field, id, term, tf``, a row for each pair; fields are collections of their own. ``df`` is the number
+    of records with the term, ``cf`` its occurrences in all. ``q_log`` is the logarithm of the probability adjusted
+    after Benjamini and Hochberg over all pairs of the field, ``score`` is ``-q_log``: 0 for a term as common in the
+    record as anywhere. An empty input gives no rows. Terms are joined with their counts by the term; a hot term's rows
+    are split by the engine's skew handling, as the other side has one row for each term.
     """
     tf = stage(tf, "tf")
-    term = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    length = tf.groupBy("id").agg(F.sum("tf").alias("n"))
-    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("N"), F.count("*").alias("m")).first()
-    pairs = stage(tf.join(term, "term").join(length, "id"), "pairs")
-    combos = pairs.groupBy("tf", "cf", "n").agg(F.count("*").alias("w"))
-    combos = combos.withColumn("p_log", F.pandas_udf(_log_p, "double")(F.col("tf"), F.col("n"), F.col("cf"), F.lit(total["N"])))
-    ranked = _adjust(stage(combos, "combos"), total["m"])
-    c = ranked.select(*(F.col(x).alias(f"_{x}") for x in ("tf", "cf", "n")), "p_log", "q_log")
-    joined = pairs.join(c, [F.col(x) == F.col(f"_{x}") for x in ("tf", "cf", "n")])
-    return joined.select("id", "term", "tf", "df", "cf", "p_log", "q_log", (-F.col("q_log")).alias("score"))
-
-
-def _adjust(combos: DataFrame, pairs: int) -> DataFrame:
+    term = tf.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    length = tf.groupBy("field", "id").agg(F.sum("tf").alias("n"))
+    pairs = stage(tf.join(term, ["field", "term"]).join(length, ["field", "id"]), "pairs")
+    keys = ["field", "tf", "cf", "n"]
+    weighed = stage(pairs.groupBy(*keys).agg(F.count("*").alias("w")), "weights")
+    # The occurrences and the pairs of a field, from the combinations: a row for each field.
+    total = weighed.groupBy("field").agg(F.sum(F.col("tf") * F.col("w")).alias("_all"), F.sum("w").alias("m"))
+    combos = weighed.join(total, "field").withColumn("p_log", F.pandas_udf(_log_p, "double")("tf", "n", "cf", "_all"))
+    c = _adjust(stage(combos, "combos")).select(*(F.col(x).alias(f"_{x}") for x in keys), "p_log", "q_log")
+    joined = pairs.join(c, [F.col(x) == F.col(f"_{x}") for x in keys])
+    return joined.select("field", "id", "term", "tf", "df", "cf", "p_log", "q_log", (-F.col("q_log")).alias("score"))
+
+
+def _adjust(combos: DataFrame) -> DataFrame:
     """``q_log`` = min over p' >= p of log(p' * pairs / rank of p'), at most 0, with each row counting ``w`` times.
 
     Rows are ordered within slots of the logarithm of -log p; a number of any practical size falls into some hundred
@@ -125,26 +127,25 @@ def _adjust(combos: DataFrame, pairs: int) -> DataFrame:
     """
     slot = F.floor(F.log1p(-F.col("p_log")) * SLOTS_PER_UNIT)
     # Equal probabilities share the rank of the last of them.
-    each = combos.groupBy("p_log").agg(F.sum("w").alias("w")).withColumn("_s", slot)
-    slots = each.groupBy("_s").agg(F.sum("w").alias("_w"))
-    below = Window.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("_before", F.coalesce(F.sum("_w").over(below), F.lit(0)))
-    up = Window.partitionBy("_s").orderBy("p_log").rowsBetween(Window.unboundedPreceding, 0)
-    raw = each.join(slots.select("_s", "_before"), "_s").withColumn("_rank", F.col("_before") + F.sum("w").over(up))
-    raw = raw.withColumn("_q", F.col("p_log") + F.log(F.lit(float(max(pairs, 1))) / F.col("_rank")))
-    least = raw.groupBy("_s").agg(F.min("_q").alias("_min"))
-    above = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    least = least.withColumn("_later", F.coalesce(F.min("_min").over(above), F.lit(0.0))).select("_s", "_later")
-    down = Window.partitionBy("_s").orderBy(F.col("p_log").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = raw.join(least, "_s").withColumn("q_log", F.least(F.min("_q").over(down), "_later", F.lit(0.0))).select(F.col("p_log").alias("_p"), "q_log")
-    return combos.join(q, F.col("p_log") == F.col("_p")).drop("_p")
+    each = combos.groupBy("field", "p_log").agg(F.sum("w").alias("w"), F.max("m").alias("m")).withColumn("_s", slot)
+    slots = each.groupBy("field", "_s").agg(F.sum("w").alias("_w"))
+    below = Window.partitionBy("field").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_w").over(below), F.lit(0))).drop("_w")
+    up = Window.partitionBy("field", "_s").orderBy("p_log").rowsBetween(Window.unboundedPreceding, 0)
+    raw = each.join(slots, ["field", "_s"]).withColumn("_rank", F.col("_before") + F.sum("w").over(up))
+    raw = raw.withColumn("_q", F.col("p_log") + F.log(F.col("m") / F.col("_rank")))
+    least = raw.groupBy("field", "_s").agg(F.min("_q").alias("_min"))
+    above = Window.partitionBy("field").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    least = least.withColumn("_later", F.coalesce(F.min("_min").over(above), F.lit(0.0))).drop("_min")
+    down = Window.partitionBy("field", "_s").orderBy(F.col("p_log").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = raw.join(least, ["field", "_s"]).withColumn("q_log", F.least(F.min("_q").over(down), "_later", F.lit(0.0)))
+    return combos.join(q.select("field", "p_log", "q_log"), ["field", "p_log"])
 
 
 def distinctive(docs: DataFrame) -> DataFrame:
-    """:func:`enrich` for the words of ``content`` and the tags of ``tags``, with ``field`` telling which.
+    """:func:`enrich` for the words of ``content`` and the tags of ``tags``.
 
     Null ids, contents, lists and tags give nothing; tags are compared trimmed and in lower case and count once a
     record. Deleted documents count.
     """
-    content = enrich(content_terms(docs)).withColumn("field", F.lit("content"))
-    return content.unionByName(enrich(tag_terms(docs)).withColumn("field", F.lit("tags")))
+    return enrich(content_terms(docs).union(tag_terms(docs)))

@@ -82,9 +82,11 @@ def get_revision(spark: SparkSession, sf: str) -> DataFrame:
     return revlog.get_revision(log, "heartbeat-main", rev).select("db", "shard", "seq", "rev").distinct()
 
 
-@query(_DOCS + "SELECT id, rev, content FROM docs WHERE id = 'note-00000003' AND NOT deleted")
+@query(_DOCS + "SELECT id, rev, content FROM docs WHERE id = (SELECT min(id) FROM docs WHERE NOT deleted)")
 def get_head(spark: SparkSession, sf: str) -> DataFrame:
-    return revlog.get(docs_view(spark, sf), "note-00000003").select("id", "rev", "content")
+    docs = docs_view(spark, sf)
+    first = docs.where(~F.col("deleted")).agg(F.min("id")).first()[0]
+    return revlog.get(docs, first or "").select("id", "rev", "content")
 
 
 @query(_LIVE.format(where="coalesce(j ->> '$.type', CASE WHEN json_type(j, '$.type') = 'NULL' THEN '' END) = 'note'", limit=1000))
@@ -254,7 +256,7 @@ def shard_stats_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_DOCS + _LEAVES + ", sh AS (SELECT id, CAST(id[-1:] AS INTEGER) % 3 AS shard FROM docs) SELECT count(*) AS docs_total, count(*) FILTER (WHERE NOT deleted) AS docs_alive, "
-       "(SELECT sum(n) FROM (SELECT count(DISTINCT t) AS n FROM (SELECT id, unnest(w) AS t FROM tok WHERE NOT deleted) JOIN sh USING (id) GROUP BY shard)) AS full_text_tokens FROM docs")
+       "(SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(DISTINCT t) AS n FROM (SELECT id, unnest(w) AS t FROM tok WHERE NOT deleted) JOIN sh USING (id) GROUP BY shard)) AS full_text_tokens FROM docs")
 def shard_stats_compat(spark: SparkSession, sf: str) -> DataFrame:
     docs = docs_view(spark, sf).withColumn("shard", F.right("id", F.lit(1)).cast("int") % 3)
     return stats.merge_shard_stats(stats.shard_stats(docs).withColumn("seq", F.lit(0))).select("docs_total", "docs_alive", "full_text_tokens")

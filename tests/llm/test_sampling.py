@@ -8,7 +8,7 @@ from foliospark.llm import sampling
 TARGETS = "category string, target_permille int, min_rows int, sample_rows int"
 
 
-@pytest.fixture(params=[8, 8192])
+@pytest.fixture(params=[40, 8192])
 def bucket(request, monkeypatch):
     monkeypatch.setattr(sampling, "BUCKET_ROWS", request.param)
     monkeypatch.setattr(sampling, "FAN_IN", 4)

@@ -1,16 +1,23 @@
-"""Applying a log of puts and deletes (problem 5): commit-ordered replay.
+"""Applying a log of puts and deletes (problem 5): commit-ordered, transactional replay.
 
-All deliveries of one sequence number of a log form a transaction. Transactions of different documents don't conflict
-and are applied in parallel; those of one document in the order of ``seq``. While a log is open, gaps in ``seq`` hold
-back what follows and state is exposed only up to the contiguous watermark; once it is closed the gaps are released.
+What stands under one sequence number of a log is a transaction: all its deliveries are assembled, for each document
+the one that decides. Transactions of different documents don't conflict and are applied in parallel; those of one
+document in the order of ``seq``. A gap in ``seq`` holds back all that follows: the first commit applies the contiguous
+transactions up to each log's watermark and is all that an open log exposes. At the end of a log gaps are final, and the
+held transactions are released over that state as a second commit.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliospark.sources.state import StateStore
+from foliospark.sources.tables import keep_for_release, shared_dir, stage
+
 LOG = ["db", "shard"]
 #: Sequence numbers in one block of the search for gaps.
 BLOCK = 65_536
@@ -21,24 +28,29 @@ def _op() -> Column:
 
 
 def transactions(log: DataFrame) -> DataFrame:
-    """The lines that count: ``del``, or ``put`` with a ``doc``; with ``is_del`` and ``alive``.
+    """``db, shard, seq, id, ts, rev, is_del, alive``: each transaction's deciding line for every document it changes.
 
-    Other operations and lines without ``id`` or ``seq`` change nothing and are left out.
+    Lines that count are ``del``, or ``put`` with a ``doc``; within a transaction the latest ``ts`` decides, full ties
+    take the highest ``rev``, a delete before a put. A line that changes nothing, or has no ``id``, fills its place: it
+    is there with a null ``id``. Lines without ``seq`` are no part of the order and are left out. Repeated deliveries
+    are combined before the shuffle.
     """
     op = _op()
-    return log.where(F.col("id").isNotNull() & F.col("seq").isNotNull() & ((op == "del") | ((op == "put") & F.col("doc").isNotNull()))).select(
-        *LOG, "id", "seq", "ts", "rev", (op == "del").alias("is_del"), ((op == "put") & F.coalesce(~F.col("doc.deleted"), F.lit(False))).alias("alive")
-    )
+    counts = (op == "del") | ((op == "put") & F.col("doc").isNotNull())
+    order = F.struct("ts", "rev", (op == "del").alias("is_del"), ((op == "put") & F.coalesce(~F.col("doc.deleted"), F.lit(False))).alias("alive"))
+    rows = log.where(F.col("seq").isNotNull()).select(*LOG, "seq", F.when(counts, F.col("id")).alias("id"), order.alias("_o"))
+    return rows.groupBy(*LOG, "seq", "id").agg(F.max("_o").alias("_b")).select(*LOG, "seq", "id", "_b.ts", "_b.rev", "_b.is_del", "_b.alive")
 
 
-def deciding(log: DataFrame) -> DataFrame:
-    """For each document the line that decides: the highest ``seq``, then the latest ``ts``.
+def apply(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """The state after transactions: for each document the line of the highest ``seq``, over a state's own if given.
 
-    Full ties take the highest ``rev``, a delete before a put. Lines are combined before the shuffle, so that a document
-    with a large part of all lines costs no more there than any other.
+    Lines are combined before the shuffle, so a document with a large part of all changes costs no more there than any
+    other.
     """
-    order = F.struct("seq", "ts", "rev", "is_del", "alive")
-    best = transactions(log).groupBy(*LOG, "id").agg(F.max(order).alias("_b"))
+    rows = changes.where(F.col("id").isNotNull()).select(*LOG, "id", "seq", "rev", "ts", "is_del", "alive")
+    rows = rows if state is None else rows.unionByName(state.select(rows.columns))
+    best = rows.groupBy(*LOG, "id").agg(F.max(F.struct("seq", "ts", "rev", "is_del", "alive")).alias("_b"))
     return best.select(*LOG, "id", "_b.seq", "_b.rev", "_b.ts", "_b.is_del", "_b.alive")
 
 
@@ -72,14 +84,31 @@ def watermarks(log: DataFrame) -> DataFrame:
     return joined.select(*(F.col(f"a.{c}").alias(c) for c in LOG), "first_seq", "last_seq", mark.alias("watermark"), (F.col("_all") - (mark - F.col("first_seq") + 1)).alias("held"))
 
 
-def replay(log: DataFrame, closed: bool = True) -> DataFrame:
-    """Current documents ``db, shard, id, seq, rev`` after the log.
+def ready(changes: DataFrame, marks: DataFrame) -> DataFrame:
+    """``changes`` with ``ready``: whether the transaction is within its log's contiguous watermark.
+
+    Changes meet the watermark by log and block of numbers, so no log goes through one task.
+    """
+    block = F.floor(F.col("seq") / BLOCK)
+    blocks = changes.select(*LOG, block.alias("_block")).distinct().alias("k")
+    m = marks.select(*LOG, "watermark").alias("m")
+    limits = blocks.join(m, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in LOG]).select(*(F.col(f"k.{c}").alias(f"_{c}") for c in LOG), "_block", "watermark")
+    joined = changes.withColumn("_b", block).join(limits, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG), F.col("_b") == F.col("_block")])
+    return joined.select(*changes.columns, (F.col("seq") <= F.col("watermark")).alias("ready"))
+
+
+def replay(log: DataFrame, closed: bool = True, store: StateStore | None = None) -> DataFrame:
+    """Current documents ``db, shard, id, seq, rev`` after the log, read from the committed state.
 
-    ``closed``: the log is at its end, gaps are final and everything held is released. Else only transactions up to
-    each log's contiguous watermark are exposed. A document is live if its deciding line is a put whose
-    ``doc.deleted`` is false. Repeated lines count once; an empty log gives no rows.
+    The first version of the state holds what each log's contiguous watermark exposes; with ``closed`` (the log is at
+    its end) the held transactions are released over it as the second. A document is live if its deciding line is a put
+    whose ``doc.deleted`` is false. Repeated lines count once; an empty log gives no rows. ``store`` must be empty.
     """
-    if not closed:
-        m = watermarks(log).select(*(F.col(c).alias(f"_{c}") for c in LOG), "watermark")
-        log = log.join(m, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG]).where(F.col("seq") <= F.col("watermark"))
-    return deciding(log).where("alive").select(*LOG, "id", "seq", "rev")
+    spark = log.sparkSession
+    store = store or StateStore(spark, keep_for_release(f"{shared_dir(spark)}/foliospark/replay-{uuid.uuid4().hex}"))
+    assembled = stage(transactions(log), "transactions")
+    changes = stage(ready(assembled, watermarks(assembled)), "changes")
+    store.add(apply(changes.where("ready")), 0, {"commit": "watermark"})
+    if closed:
+        store.replace(apply(changes.where(~F.col("ready")), store.read()), 1, {"commit": "end of log"})
+    return store.read().where("alive").select(*LOG, "id", "seq", "rev")

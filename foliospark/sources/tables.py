@@ -43,12 +43,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor never makes earlier stages run again, and the rows are fixed even where the plan
     before was not deterministic. The copies are removed when the Python driver ends, or earlier by :func:`release`.
     """
-    path = f"{shared_dir(df.sparkSession)}/foliospark/{name}-{uuid.uuid4().hex}"
+    path = keep_for_release(f"{shared_dir(df.sparkSession)}/foliospark/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_for_release(path: str) -> str:
+    """Note a folder that :func:`release` and the end of the driver remove; called before it is written."""
+    _staged.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Remove all staged tables; results that still read them can't be used afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -58,6 +63,13 @@ def release(spark: SparkSession) -> None:
 
 
 def _sweep() -> None:
+    """At the driver's end: through the session where it still runs, else local folders by themselves."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.sparkContext._jsc is not None:
+        try:
+            release(session)
+        except Exception:  # the JVM may be gone already
+            pass
     for path in _staged:
         local = path.removeprefix("file://")
         if os.path.isdir(local):

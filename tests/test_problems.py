@@ -2,10 +2,12 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions.json_tree import _deep, parse
 from foliospark.operators import incremental, nested, packed, replay
+from foliospark.sources.state import StaleVersion, StateStore
 from foliospark.streaming import replay as streaming
 
 # nested records
@@ -126,6 +128,13 @@ def test_watermarks(spark):
     got = {r.db: (r.first_seq, r.last_seq, r.watermark, r.held) for r in replay.watermarks(lines(spark, rows)).collect()}
     assert got == {"x": (3, 8, 5, 2), "y": (1, 5, 5, 0)}
     assert sorted(r.id for r in replay.replay(lines(spark, rows), closed=False).collect()) == ["d3", "d4", "d5"]
+    assert sorted(r.id for r in replay.replay(lines(spark, rows)).collect()) == ["d3", "d4", "d5", "d7", "d8"]
+
+
+def test_transactions_assemble_deliveries(spark):
+    rows = [("x", "put", "a", "1-a", 1, False, 1), ("x", "del", "a", "1-b", 1, None, 2), ("x", "put", "b", "1-c", 1, False, 0), ("x", "noop", "c", None, 2, None, 1), ("x", "put", "c", "1-d", None, False, 1)]
+    got = {(r.seq, r.id): (r.rev, r.is_del, r.alive) for r in replay.transactions(lines(spark, rows + rows)).collect()}
+    assert got == {(1, "a"): ("1-b", True, False), (1, "b"): ("1-c", False, True), (2, None): (None, False, False)}
 
 
 def test_watermarks_over_blocks(spark, monkeypatch):
@@ -184,22 +193,69 @@ def test_runs_against_a_plain_history(spark):
     assert incremental.run_history(lines(spark, []), table).count() == 0
 
 
+def test_a_history_survives_failures(spark, tmp_path):
+    rows = random_log(300, 5)
+    runs = [(i, "xy"[i % 2], i * 2, "ok") for i in range(1, 21)]
+    start = dt.datetime(2025, 1, 1)
+    table = spark.createDataFrame([(i, db, 0, start + dt.timedelta(hours=u), s) for i, db, u, s in runs], "run_id long, db string, shard int, read_until timestamp_ntz, status string")
+    store = StateStore(spark, str(tmp_path / "s"))
+    failures = iter([1, 3, 5])
+    next_failure = [next(failures)]
+
+    def between(number):
+        if number == next_failure[0]:
+            next_failure[0] = next(failures, None)
+            raise RuntimeError("the run died before its commit")
+
+    for _ in range(3):
+        with pytest.raises(RuntimeError):
+            incremental.run_history(lines(spark, rows), table, store, between=between)
+    got = [(r.run_id, r.db, r.seq) for r in incremental.run_history(lines(spark, rows), table, store, between=between).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_runs(rows, runs)
+    assert store.version() == incremental.ROUNDS + 1
+
+
 def test_single_runs_with_state(spark, tmp_path):
-    store = incremental.StateStore(spark, str(tmp_path / "s"))
+    store = StateStore(spark, str(tmp_path / "s"))
     rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, extra int")
     first = rows((1, "a", 0), (2, None, 0), (2, None, 1), (None, "n", 0))
     assert len(run_safe(first, store)) == len(run_safe(first, store)) == 3  # a failed run is repeated in full
-    incremental.commit(first, store, ["k"], ["v"])
+    incremental.commit(incremental.run_once(first, store, ["k"], ["v"]), store)
     assert run_safe(first, store) == []
     second = rows((1, "a", 9), (1, "b", 0), (3, "c", 0), (None, "n", 0))
-    before = store.current()
+    before = store.version()
     assert run_safe(second, store) == [(1, "b"), (3, "c")]
-    incremental.commit(second, store, ["k"], ["v"])
-    assert store.current() != before and run_safe(second, store) == []
+    incremental.commit(incremental.run_once(second, store, ["k"], ["v"]), store)
+    assert store.version() == before + 1 and run_safe(second, store) == []
+
+
+def test_what_arrives_between_run_and_commit_is_left_for_the_next(spark, tmp_path):
+    store, source = StateStore(spark, str(tmp_path / "s")), str(tmp_path / "t")
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    frame((1, "a")).write.parquet(source)
+    run = incremental.run_once(spark.read.parquet(source), store, ["k"], ["v"])
+    other = incremental.run_once(spark.read.parquet(source), store, ["k"], ["v"])
+    frame((2, "b")).write.mode("append").parquet(source)
+    incremental.commit(run, store)
+    with pytest.raises(StaleVersion):
+        incremental.commit(other, store)
+    assert run_safe(spark.read.parquet(source), store) == [(2, "b")]
 
 
 def run_safe(df, store):
-    return sorted(((r.k, r.v) for r in incremental.run_once(df, store, ["k"], ["v"]).collect()), key=str)
+    return sorted(((r.k, r.v) for r in incremental.run_once(df, store, ["k"], ["v"]).rows.collect()), key=str)
+
+
+def test_replaced_parts_go_and_the_version_before_stays_readable(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "s"))
+    for n in range(3):
+        store.add(spark.range(n, n + 1), n)
+    store.replace(spark.range(10), 3)
+    assert store.read().count() == 10 and store.read(3).count() == 3
+    store.replace(spark.range(20), 4)
+    store.replace(spark.range(30), 5)
+    assert store.read().count() == 30 and store.read(5).count() == 20
+    assert len(list((tmp_path / "s").glob("part-*"))) == 2
 
 
 def test_content_hash_keeps_nulls_apart(spark):

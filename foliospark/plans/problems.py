@@ -9,14 +9,32 @@ from foliospark.operators import incremental, nested, packed, replay
 from foliospark.sources.tables import table
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "document_store").select("id", "data_json", "tags").distinct()
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.elements(table(spark, sf, "document_store"))
 
 
 def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Size of each flat table."""
-    rows = nested.relational(table(spark, sf, "document_store").select("id", "data_json", "tags").distinct())
-    return rows.groupBy("tag").agg(F.count("*").alias("n_rows"), F.sum((F.col("parent_path") == nested.ROOT).cast("long")).alias("at_root"))
+    rows = nested.read_rows(spark, nested.flattened(_stored(spark, sf)))
+    return rows.groupBy("tag", "kind").agg(F.count("*").alias("n_rows"), F.sum((F.col("parent_path") == nested.ROOT).cast("long")).alias("at_root"), F.sum((F.col("owner") == nested.ROOT).cast("long")).alias("no_owner"))
+
+
+def p1_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scalar element of a list, with the object it lies in."""
+    rows = nested.read_rows(spark, nested.flattened(_stored(spark, sf))).where((F.col("kind") == "value") & (F.col("tag") != "tags"))
+    return rows.select("id", "path", "parent_path", "owner", F.get_json_object("payload", "$.value").alias("value"))
+
+
+def p1_parcels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two flat tables with their schemas, child and parent, joined by their keys."""
+    folder = nested.flattened(_stored(spark, sf))
+    parcel = nested.read_table(spark, folder, "data.shipments[].parcels[]", "sku string, qty string")
+    shipment = nested.read_table(spark, folder, "data.shipments[]", "carrier string").select("id", F.col("path").alias("parent_path"), "carrier")
+    return parcel.join(shipment, ["id", "parent_path"]).select("id", "path", "sku", "qty", "carrier")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,16 +58,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return packed.unpack(table(spark, sf, "news_articles"), "id", "authors", value="author")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p5_found, p5_committed, p5_watermarks, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_values, p1_parcels, p5_found, p5_committed, p5_watermarks, p6_found, p7_found)}
 
 _WALK = """
 WITH RECURSIVE docs AS (
   SELECT DISTINCT id, data_json, tags FROM document_store
 ), walk AS (
-  SELECT id, 'data' AS path, '$' AS parent_path, false AS is_element, CAST(data_json AS JSON) AS v
+  SELECT id, 'data' AS path, '$' AS parent_path, '$' AS owner, false AS is_element, CAST(data_json AS JSON) AS v
   FROM docs WHERE json_valid(data_json)
   UNION ALL
-  SELECT w.id, w.path || c.step, CASE WHEN json_type(w.v) = 'OBJECT' AND w.is_element THEN w.path ELSE w.parent_path END, c.step[1] = '[', c.v
+  SELECT w.id, w.path || c.step, CASE WHEN json_type(w.v) = 'OBJECT' AND w.is_element THEN w.path ELSE w.parent_path END,
+         CASE WHEN json_type(w.v) = 'OBJECT' THEN w.path ELSE w.owner END, c.step[1] = '[', c.v
   FROM walk w, LATERAL (
     SELECT '.' || k AS step, json_extract(w.v, '$."' || k || '"') AS v
     FROM (SELECT unnest(json_keys(w.v)) AS k) WHERE json_type(w.v) = 'OBJECT'
@@ -57,9 +76,12 @@ WITH RECURSIVE docs AS (
     SELECT '[' || i || ']', json_extract(w.v, '$[' || i || ']')
     FROM (SELECT unnest(range(CASE WHEN json_type(w.v) = 'ARRAY' THEN CAST(json_array_length(w.v) AS BIGINT) ELSE 0 END)) AS i)
   ) c
-  WHERE json_type(c.v) IN ('OBJECT', 'ARRAY')
+  WHERE json_type(c.v) IN ('OBJECT', 'ARRAY') OR json_type(w.v) = 'ARRAY'
+), rows AS (
+  SELECT id, path, parent_path, owner, is_element, v, CASE WHEN json_type(v) = 'OBJECT' THEN 'object' ELSE 'value' END AS kind,
+         regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS tag FROM walk WHERE json_type(v) <> 'ARRAY'
 ), objects AS (
-  SELECT id, path, parent_path, is_element, regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS tag FROM walk WHERE json_type(v) = 'OBJECT'
+  SELECT * FROM rows WHERE kind = 'object'
 ), tagged AS (
   SELECT id, 'tags[' || (i - 1) || ']' AS path, tags[i] AS t FROM (SELECT id, tags, unnest(range(1, len(tags) + 1)) AS i FROM docs)
 )
@@ -113,8 +135,15 @@ SELECT id, path, '$' FROM tagged WHERE t IS NOT NULL
 """,
     "p1_tables": _WALK
     + """
-SELECT tag, count(*) AS n_rows, count(*) FILTER (WHERE parent_path = '$') AS at_root
-FROM (SELECT tag, parent_path FROM objects UNION ALL SELECT 'tags', '$' FROM tagged WHERE t IS NOT NULL) GROUP BY tag
+SELECT tag, kind, count(*) AS n_rows, count(*) FILTER (WHERE parent_path = '$') AS at_root, count(*) FILTER (WHERE owner = '$') AS no_owner
+FROM (SELECT tag, kind, parent_path, owner FROM rows UNION ALL SELECT 'tags', 'value', '$', '$' FROM tagged WHERE t IS NOT NULL) GROUP BY tag, kind
+""",
+    "p1_values": _WALK + "SELECT id, path, parent_path, owner, v ->> '$' AS value FROM rows WHERE kind = 'value'",
+    "p1_parcels": _WALK
+    + """
+SELECT p.id, p.path, p.v ->> '$.sku' AS sku, p.v ->> '$.qty' AS qty, s.v ->> '$.carrier' AS carrier
+FROM objects p JOIN objects s ON p.id = s.id AND p.parent_path = s.path
+WHERE p.tag = 'data.shipments[].parcels[]' AND s.tag = 'data.shipments[]'
 """,
     "p5_found": _LIVE.format(and_where=""),
     "p5_committed": _LIVE.format(and_where=f"AND EXISTS (SELECT 1 FROM ({_MARKS}) m WHERE m.db = lines.db AND m.shard = lines.shard AND lines.seq <= m.watermark)"),

@@ -47,9 +47,9 @@ def test_nested_records_against_a_plain_walk(spark):
 
 def test_repeated_names_numbers_and_depth():
     assert [p for _, p, *_ in nested.visit(parse('{"a":[{"x":1}],"a":[{"y":2},{}]}')) if "[" in p] == ["data.a[0]", "data.a[0]", "data.a[1]"]
-    assert next(nested.visit(parse('{"n":5.0,"m":12345678901234567890,"t":true}')))[4] == '{"n":5.0,"m":12345678901234567890,"t":true}'
+    assert next(nested.visit(parse('{"n":5.0,"m":12345678901234567890,"t":true}')))[6] == '{"n":5.0,"m":12345678901234567890,"t":true}'
     deep = "[" * 200_000 + '{"a":[{}]}' + "]" * 200_000
-    found = [e for e in nested.visit(parse(deep)) if e[3]]
+    found = [e for e in nested.visit(parse(deep)) if e[4]]
     assert len(found) == 2 and found[1][2] == found[0][1]
     assert parse("[" * 200_000) is None and parse('{"a":' * 100_000 + "1" + "}" * 99_999) is None
     for text in ('{"a":[1,{"b":null}],"c":{}}', "[[],{}]", '"x"', "[1.50]", '{"a":[]}'):
@@ -58,6 +58,18 @@ def test_repeated_names_numbers_and_depth():
 
 def test_flat_tables(spark, tmp_path):
     df = spark.createDataFrame([("o1", '{"k":"v","items":[{"sku":"a","qty":2},{"sku":"b"}]}', ["t"])], "id string, data_json string, tags array<string>")
+    df = df.union(spark.createDataFrame([("o2", '{"tags":["x","y"],"items":[{"sku":"s","sizes":[1,2.50]}],"m":[[1,2],{"q":{"r":1}}],"no":[],"n":[null,true]}', None), ("o3", "[1,[2]]", None), ("o4", '"text"', None), ("o5", "null", None)], df.schema))
+    nested.write_tables(nested.relational(df), str(tmp_path))
+    values = {(r.id, r.path): (r.owner, r.payload) for r in nested.read_rows(spark, str(tmp_path)).where("kind = 'value' and id <> 'o1'").collect()}
+    assert values == {
+        ("o2", "data.tags[0]"): ("data", '{"value":"x"}'), ("o2", "data.tags[1]"): ("data", '{"value":"y"}'), ("o2", "data.items[0].sizes[0]"): ("data.items[0]", '{"value":1}'), ("o2", "data.items[0].sizes[1]"): ("data.items[0]", '{"value":2.50}'),
+        ("o2", "data.m[0][0]"): ("data", '{"value":1}'), ("o2", "data.m[0][1]"): ("data", '{"value":2}'), ("o2", "data.n[0]"): ("data", '{"value":null}'), ("o2", "data.n[1]"): ("data", '{"value":true}'),
+        ("o3", "data[0]"): ("$", '{"value":1}'), ("o3", "data[1][0]"): ("$", '{"value":2}'), ("o4", "data"): ("$", '{"value":"text"}'), ("o5", "data"): ("$", '{"value":null}'),
+    }
+    inner = nested.read_table(spark, str(tmp_path), "data.m[].q").first()
+    assert (inner.parent_path, inner.owner, inner.fields) == ("data.m[1]", "data.m[1]", {"r": "1"})
+    assert nested.read_table(spark, str(tmp_path), "data", "no array<int>").where("id = 'o2'").first().no == []
+    df = df.where("id = 'o1'")
     nested.write_tables(nested.relational(df), str(tmp_path))
     items = nested.read_table(spark, str(tmp_path), "data.items[]", "sku string, qty int").orderBy("path").collect()
     assert [(r.path, r.parent_path, r.sku, r.qty) for r in items] == [("data.items[0]", "$", "a", 2), ("data.items[1]", "$", "b", None)]

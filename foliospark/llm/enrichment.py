@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +26,8 @@ from foliospark.sources.tables import stage
 #: Slots for each unit of log(1 - log p) in which ranks are counted; each slot is ordered by itself, in parallel.
 SLOTS_PER_UNIT = 4096
 
+_ROWS = 4_096  # records counted at a time
+
 #: Coefficients of the Stirling series of log-gamma: 1/12, -1/360, 1/1260, -1/1680, 1/1188.
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 
@@ -80,42 +83,58 @@ def _log_p(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -
         yield pd.Series(log_upper_tail(k, n, K, N))
 
 
-def occurrences(docs: DataFrame, key: str, field: str, terms: Column) -> DataFrame:
-    """``field, id, term, tf``: how often each term occurs in each record. Repeated rows count once."""
-    rows = docs.select(F.col(key).alias("id"), field).where(F.col("id").isNotNull() & F.col(field).isNotNull()).distinct()
-    counted = rows.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return counted.select(F.lit(field).alias("field"), "id", "term", "tf")
-
-
-def content_terms(docs: DataFrame) -> DataFrame:
-    return occurrences(docs, "id", "content", words(F.col("content")))
-
-
-def tag_terms(docs: DataFrame) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``field, id, term, tf, n`` of records ``id, content, tags`` given as lists of terms; counted batch by batch."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(lo, _ROWS)
+            for field in ("content", "tags"):
+                lists = batch.column(field)
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                sizes = np.diff(offsets)
+                coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+                kinds = len(coded.dictionary)
+                if not kinds:
+                    continue
+                owner = np.repeat(np.arange(batch.num_rows), sizes)
+                pairs, tf = np.unique(owner * kinds + coded.indices.to_numpy(), return_counts=True)
+                of = pairs // kinds
+                columns = [batch.column("id").take(pa.array(of)), coded.dictionary.take(pa.array(pairs % kinds)), pa.array(tf), pa.array(sizes[of])]
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(of), pa.string()), *columns], ["field", "id", "term", "tf", "n"])
+
+
+def terms(docs: DataFrame) -> DataFrame:
+    """``field, id, term, tf, n``: how often each term occurs in each record, and how many occurrences the record has.
+
+    Terms are the words of ``content`` and the tags of ``tags``, trimmed and in lower case, each once a record. Repeated
+    rows count once; rows that share an id but differ are records of their own. Null ids, contents, lists and tags and
+    blank tags give nothing.
+    """
     tags = F.transform(F.filter("tags", lambda t: t.isNotNull()), lambda t: F.lower(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")))
-    return occurrences(docs, "id", "tags", F.array_distinct(F.filter(tags, lambda t: t != "")))
+    tags = F.coalesce(F.array_distinct(F.filter(tags, lambda t: t != "")), F.array().cast("array<string>"))
+    rows = docs.select(F.col("id").cast("string").alias("id"), "content", "tags").where(F.col("id").isNotNull()).distinct()
+    return rows.select("id", words(F.col("content")).alias("content"), tags.alias("tags")).mapInArrow(_counted, "field string, id string, term string, tf long, n long")
 
 
-def enrich(tf: DataFrame) -> DataFrame:
+def enrich(counted: DataFrame) -> DataFrame:
     """``field, id, term, tf, df, cf, p_log, q_log, score`` for every pair of record and term of each field.
 
-    ``tf`` has ``field, id, term, tf``, a row for each pair; fields are collections of their own. ``df`` is the number
-    of records with the term, ``cf`` its occurrences in all. ``q_log`` is the logarithm of the probability adjusted
-    after Benjamini and Hochberg over all pairs of the field, ``score`` is ``-q_log``: 0 for a term as common in the
-    record as anywhere. An empty input gives no rows. Terms are joined with their counts by the term; a hot term's rows
-    are split by the engine's skew handling, as the other side has one row for each term.
+    ``counted`` has ``field, id, term, tf, n``, a row for each pair; fields are collections of their own. ``df`` is the
+    number of records with the term, ``cf`` its occurrences in all. ``q_log`` is the logarithm of the probability
+    adjusted after Benjamini and Hochberg over all pairs of the field, ``score`` is ``-q_log``: 0 for a term as common in
+    the record as anywhere. An empty input gives no rows. Pairs meet their term's counts and their combination's
+    probability in joins whose other side has one row a key, so the engine's skew handling can split hot terms.
     """
-    tf = stage(tf, "tf")
-    term = tf.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    length = tf.groupBy("field", "id").agg(F.sum("tf").alias("n"))
-    pairs = stage(tf.join(term, ["field", "term"]).join(length, ["field", "id"]), "pairs")
+    counted = stage(counted, "terms")
+    term = counted.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    pairs = stage(counted.join(term.hint("merge"), ["field", "term"]), "pairs")
     keys = ["field", "tf", "cf", "n"]
     weighed = stage(pairs.groupBy(*keys).agg(F.count("*").alias("w")), "weights")
     # The occurrences and the pairs of a field, from the combinations: a row for each field.
     total = weighed.groupBy("field").agg(F.sum(F.col("tf") * F.col("w")).alias("_all"), F.sum("w").alias("m"))
-    combos = weighed.join(total, "field").withColumn("p_log", F.pandas_udf(_log_p, "double")("tf", "n", "cf", "_all"))
-    c = _adjust(stage(combos, "combos")).select(*(F.col(x).alias(f"_{x}") for x in keys), "p_log", "q_log")
-    joined = pairs.join(c, [F.col(x) == F.col(f"_{x}") for x in keys])
+    combos = weighed.join(F.broadcast(total), "field").withColumn("p_log", F.pandas_udf(_log_p, "double")("tf", "n", "cf", "_all"))
+    c = _adjust(stage(combos, "combos")).select(*keys, "p_log", "q_log")
+    joined = pairs.join(c.hint("merge"), keys)
     return joined.select("field", "id", "term", "tf", "df", "cf", "p_log", "q_log", (-F.col("q_log")).alias("score"))
 
 
@@ -143,9 +162,5 @@ def _adjust(combos: DataFrame) -> DataFrame:
 
 
 def distinctive(docs: DataFrame) -> DataFrame:
-    """:func:`enrich` for the words of ``content`` and the tags of ``tags``.
-
-    Null ids, contents, lists and tags give nothing; tags are compared trimmed and in lower case and count once a
-    record. Deleted documents count.
-    """
-    return enrich(content_terms(docs).union(tag_terms(docs)))
+    """:func:`enrich` for the words of ``content`` and the tags of ``tags``; deleted documents count."""
+    return enrich(terms(docs))

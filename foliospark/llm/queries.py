@@ -36,14 +36,16 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    scored = enrichment.distinctive(table(spark, sf, "document_store")).where(F.col("score").isNotNull())
+    """Terms that are enriched in their record (a score above 0), as rare and as frequent as asked."""
+    scored = enrichment.distinctive(table(spark, sf, "document_store")).where(F.col("score") > 0)
     content = (F.col("field") == "content") & (F.col("tf") >= 3) & (F.col("df") <= 5)
     tags = (F.col("field") == "tags") & F.col("df").between(2, 5)
     return scored.where(content | tags).select("field", "id", "term").distinct()
 
 
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return enrichment.distinctive(table(spark, sf, "document_store")).select("field", "id", "term", "tf", "df", "cf", F.round("score", 6).alias("score"))
+    scored = enrichment.distinctive(table(spark, sf, "document_store"))
+    return scored.select("field", "id", "term", "tf", "df", "cf", F.round("p_log", 3).alias("p_log"), F.round("score", 3).alias("score"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +112,40 @@ SQL = {
     "p9_items": _LEAKS + "SELECT item_id, count(*) AS n_docs FROM found GROUP BY item_id",
     "p2_found": _NEED + "SELECT category FROM r WHERE available < needed",
     "p2_report": _NEED + "SELECT category, needed, available, least(needed, available) AS sampled, greatest(needed - available, 0) AS shortfall, least(needed, available) - needed AS residual FROM r",
+    "p3_groups": _PAIRS.replace("WITH texts", "WITH RECURSIVE texts")
+    + """, kin AS (SELECT tab, id_a, id_b FROM inter WHERE c >= 0.6 * (n_a + n_b - c)),
+    cls AS (SELECT tab, id, min(id) OVER (PARTITION BY tab, list_sort(w)) AS class_id FROM big),
+    near AS (SELECT DISTINCT k.tab, a.class_id AS x, b.class_id AS y FROM kin k JOIN cls a ON a.tab = k.tab AND a.id = k.id_a JOIN cls b ON b.tab = k.tab AND b.id = k.id_b WHERE a.class_id <> b.class_id),
+    edge AS (SELECT tab, x, y FROM near UNION SELECT tab, y, x FROM near),
+    reach AS (SELECT DISTINCT tab, class_id AS x, class_id AS y FROM cls UNION SELECT r.tab, r.x, e.y FROM reach r JOIN edge e ON r.tab = e.tab AND r.y = e.x),
+    root AS (SELECT tab, x, min(y) AS group_id FROM reach GROUP BY ALL),
+    deg AS (SELECT tab, x, count(*) AS links FROM edge GROUP BY ALL)
+    SELECT c.tab, c.id, c.class_id, coalesce(d.links, 0) AS links, r.group_id
+    FROM cls c JOIN root r ON r.tab = c.tab AND r.x = c.class_id LEFT JOIN deg d ON d.tab = c.tab AND d.x = c.class_id""",
     "p3_found": _PAIRS + "SELECT DISTINCT tab, id_a, id_b FROM inter WHERE c >= 0.6 * (n_a + n_b - c)",
+    "p4_scores": f"""
+WITH d AS (SELECT DISTINCT id, content, tags FROM document_store WHERE id IS NOT NULL),
+o AS (
+  SELECT 'content' AS field, id, unnest({_WORDS.format("content")}) AS term FROM d
+  UNION ALL
+  SELECT DISTINCT 'tags', id, term FROM (SELECT id, lower(trim(x, E' \\t\\r\\n')) AS term FROM (SELECT id, unnest(tags) AS x FROM d)) WHERE term <> ''
+),
+t AS (SELECT field, id, term, count(*) AS k FROM o GROUP BY ALL),
+p AS (
+  SELECT *, count(*) OVER (PARTITION BY field, term) AS df, sum(k) OVER (PARTITION BY field, term) AS cf,
+         sum(k) OVER (PARTITION BY field, id) AS n, sum(k) OVER (PARTITION BY field) AS total FROM t
+),
+c AS (SELECT field, k, cf, n, total, count(*) AS w FROM p GROUP BY ALL),
+x AS (
+  SELECT field, k, cf, n, w, CASE WHEN k <= greatest(0, n + cf - total) THEN 0.0 ELSE least(0.0, ln(list_sum(list_transform(range(CAST(k AS BIGINT), CAST(least(n, cf) AS BIGINT) + 1), lambda i:
+    exp(lgamma(cf + 1) - lgamma(i + 1) - lgamma(cf - i + 1) + CASE WHEN n - i > total - cf THEN -1e9 ELSE lgamma(total - cf + 1) - lgamma(n - i + 1) - lgamma(total - cf - n + i + 1) END
+        - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1)))))) END AS p_log FROM c
+),
+r AS (SELECT *, p_log + ln(sum(w) OVER (PARTITION BY field) / sum(w) OVER (PARTITION BY field ORDER BY p_log RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS raw FROM x),
+q AS (SELECT *, least(0.0, min(raw) OVER (PARTITION BY field ORDER BY p_log DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q_log FROM r)
+SELECT p.field, id, term, p.k AS tf, df, CAST(p.cf AS BIGINT) AS cf, round(p_log, 3) + 0.0 AS p_log, round(-q_log, 3) + 0.0 AS score
+FROM p JOIN q ON p.field = q.field AND p.k = q.k AND p.cf = q.cf AND p.n = q.n
+""",
     "p4_found": f"""
 WITH c AS (SELECT DISTINCT id, content FROM document_store WHERE content IS NOT NULL),
 t AS (SELECT id, unnest({_WORDS.format("content")}) AS term FROM c),

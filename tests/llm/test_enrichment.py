@@ -50,5 +50,17 @@ def test_scores_and_adjustment(spark):
     assert ("tags", "a", "t1") in got and got["tags", "b", "t1"].df == 2 and ("tags", "b", "") not in got and ("tags", "d", "solo") in got
 
 
+def test_rows_of_one_id_are_records_of_their_own(spark):
+    rows = [("a", "red red red blue", None), ("a", "red green", ["x"]), ("b", "green", ["X "])]
+    got = {(r.field, r.id, r.term, r.tf): (r.df, r.cf) for r in enrichment.distinctive(spark.createDataFrame(rows, "id string, content string, tags array<string>")).collect()}
+    assert got["content", "a", "red", 3] == got["content", "a", "red", 1] == (2, 4) and got["tags", "b", "x", 1] == (2, 2) and len(got) == 7
+
+
+def test_a_very_long_text(spark):
+    rows = [("long", " ".join(f"w{i % 50_000}" for i in range(200_000)), None), ("short", "w1 w1", [])]
+    got = enrichment.distinctive(spark.createDataFrame(rows, "id string, content string, tags array<string>"))
+    assert got.count() == 50_001 and got.where("id = 'short'").first().cf == 6
+
+
 def test_empty(spark):
     assert enrichment.distinctive(frame(spark).limit(0)).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,12 +63,18 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return p9_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms, from the session; without one, a new one each time, so that no one can undo them."""
+    given = spark.conf.get("spark.foliospark.pseudonymKey", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.items(table(spark, sf, "documents"), table(spark, sf, "name_list"))
+    return pii.items(table(spark, sf, "documents"), table(spark, sf, "name_list"), _key(spark)).select("doc_id", "kind", "found")
 
 
 def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"))
+    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"), _key(spark))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_groups, p4_found, p4_scores, p8_ids, p9_found, p9_items, p10_found, p10_redacted)}

@@ -34,6 +34,14 @@ class Result:
     id: str | None = None
 
 
+def _answer(search) -> tuple[bool, list[Row], str | None]:
+    """A page of a search, or the error; pages have at most 1000 rows."""
+    try:
+        return True, search().collect(), None
+    except Exception as e:  # the caller gets the message instead
+        return False, [], str(e)
+
+
 class Engine:
     """All databases below a folder."""
 
@@ -63,16 +71,21 @@ class Engine:
     def exists(self, db: str) -> bool:
         return files._exists(self.spark, self._dir(db))
 
+    def _written(self, db: str) -> int:
+        """The number of the last line of the log, which never falls; snapshot and heads go by it."""
+        return max(self._epoch(db), self.log(db, self._epoch(db)).agg(F.max("seq")).first()[0] or 0)
+
     def seq(self, db: str) -> int:
-        """The last sequence number, 0 for a missing database."""
-        manifest = files.read_manifest(self.spark, self._dir(db)) or {}
-        logged = self.log(db).agg(F.max("seq")).first()[0]
-        return max(int(manifest.get("LastSeq", 0)), logged or 0)
+        """The last sequence number, 0 for a missing database: that of the log, shifted by what was set."""
+        return self._written(db) + self._shift(db)
+
+    def _shift(self, db: str) -> int:
+        return int(files.read_text(self.spark, f"{self._dir(db)}/seq-shift") or 0)
 
     def set_seq(self, db: str, value: int) -> None:
-        """Raise the sequence number; a negative one counts as 0. Written as a log line that changes nothing."""
-        row = self.spark.range(1).select(F.lit("seq").alias("op"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("rev"), F.lit(max(0, value)).cast("long").alias("seq"))
-        files.append_log(row, f"{self._dir(db)}/wal", self._epoch(db))
+        """Set the sequence number to any value, a negative one counting as 0; nothing happens for a missing database."""
+        if self.exists(db):
+            files.write_text(self.spark, f"{self._dir(db)}/seq-shift", str(max(0, value) - self._written(db)))
 
     def stats(self, db: str) -> DataFrame:
         return stats.db_stats(self.heads(db), self.seq(db))
@@ -82,12 +95,12 @@ class Engine:
     def _epoch(self, db: str) -> int:
         return int((files.read_manifest(self.spark, self._dir(db)) or {}).get("LastSeq", 0))
 
-    def log(self, db: str) -> DataFrame:
-        return files.read_log(self.spark, f"{self._dir(db)}/wal")
+    def log(self, db: str, since: int = 0) -> DataFrame:
+        return files.read_log(self.spark, f"{self._dir(db)}/wal", since)
 
-    def revisions(self, db: str) -> DataFrame:
-        """All revisions known: those of the active snapshot, with its seq, and those logged."""
-        puts = self.log(db).where(F.col("op").isin("put", "del") & F.col("id").isNotNull())
+    def revisions(self, db: str, since: int = 0) -> DataFrame:
+        """All revisions known: those of the active snapshot, with its seq, and those logged from an epoch on."""
+        puts = self.log(db, since).where(F.col("op").isin("put", "del") & F.col("id").isNotNull())
         body = [F.col(f"doc.{c}").alias(c) for c in revlog.BODY]
         dead = (F.col("op") == "del") | F.coalesce(F.col("doc.deleted"), F.lit(False))
         rows = puts.select("seq", "id", "rev", dead.alias("deleted"), *body)
@@ -95,8 +108,8 @@ class Engine:
         return rows if snapshot is None else rows.unionByName(snapshot.select(F.lit(last).cast("long").alias("seq"), *DOC_COLUMNS).where(F.col("id").isNotNull()))
 
     def heads(self, db: str) -> DataFrame:
-        """Current documents, deleted ones too: the snapshot, then the log over it."""
-        return revlog.heads(self.revisions(db)).select(*DOC_COLUMNS, "seq")
+        """Current documents, deleted ones too: the snapshot, then the log since it; older segments aren't read."""
+        return revlog.heads(self.revisions(db, self._epoch(db))).select(*DOC_COLUMNS, "seq")
 
     # reads
 
@@ -120,6 +133,14 @@ class Engine:
             docs = docs.join(first, "id")
         return search.full_text(docs, query, skip, limit, order).select(*DOC_COLUMNS)
 
+    def find(self, db: str, equals=None, numeric=None, limit: int = 100, offset: int = 0) -> tuple[bool, list[Row], str | None]:
+        """:meth:`find_by_fields` as (ok, documents, error)."""
+        return _answer(lambda: self.find_by_fields(db, equals, numeric, offset, limit))
+
+    def full_text(self, db: str, query: str, limit: int = 50, offset: int = 0) -> tuple[bool, list[Row], str | None]:
+        """:meth:`full_text_search` as (ok, documents, error)."""
+        return _answer(lambda: self.full_text_search(db, query, offset, limit))
+
     # writes
 
     def write(self, db: str, intents: DataFrame) -> DataFrame:
@@ -130,9 +151,9 @@ class Engine:
         """
         if not self.exists(db):
             raise ValueError(f"no database {db!r}")
-        intents = stage(intents, "intents")
+        intents = stage(revlog.with_new_ids(intents), "intents")
         results = stage(revlog.apply_intents(self.heads(db), intents), "results")
-        before = self.seq(db)
+        before = self._written(db)
         rows = revlog.accepted(results, intents)
         rows = numbered(rows, ["seq"], "_n", before + 1)
         # The line of a deletion carries the revision before it, and the document as it was.
@@ -164,7 +185,7 @@ class Engine:
 
     def import_docs(self, db: str, docs: DataFrame) -> None:
         """Documents as they are, after what is there."""
-        rows = numbered(revlog.import_rows(docs), ["id", "rev"], "seq", self.seq(db) + 1)
+        rows = numbered(revlog.import_rows(docs), ["id", "rev"], "seq", self._written(db) + 1)
         doc = F.struct(*DOC_COLUMNS)
         files.append_log(rows.select(F.when(F.col("deleted"), "del").otherwise("put").alias("op"), "id", "rev", "seq", doc.alias("doc"), F.current_timestamp().alias("ts")), f"{self._dir(db)}/wal", self._epoch(db))
 
@@ -176,12 +197,12 @@ class Engine:
 
     def snapshot(self, db: str) -> str:
         """Write the heads as a snapshot; later writes go to a new segment of the log. Older segments stay for history."""
-        return files.create_snapshot(stage(self.heads(db).select(*DOC_COLUMNS), "heads"), self._dir(db), self.seq(db))
+        return files.create_snapshot(stage(self.heads(db).select(*DOC_COLUMNS), "heads"), self._dir(db), self._written(db))
 
     def maybe_snapshot(self, db: str, before: int) -> str | None:
         """A snapshot if a multiple of ``snapshot_every`` was passed, or the log exceeds ``max_log_mb``."""
-        due = self.snapshot_every and self.seq(db) // self.snapshot_every > before // self.snapshot_every
-        large = self.max_log_mb and files.log_bytes(self.spark, f"{self._dir(db)}/wal") > self.max_log_mb * 2**20
+        due = self.snapshot_every and self._written(db) // self.snapshot_every > before // self.snapshot_every
+        large = self.max_log_mb and files.log_bytes(self.spark, f"{self._dir(db)}/wal/epoch={self._epoch(db)}") > self.max_log_mb * 2**20
         return self.snapshot(db) if due or large else None
 
     def recover(self, dbs: Sequence[str] | None = None) -> dict[str, DataFrame]:

@@ -85,14 +85,17 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return token_index(docs).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def posting_lists(docs: DataFrame, number: str = "doc_num", shards: int = 64) -> DataFrame:
-    """``token, shard, postings``: sorted document numbers of each token.
+#: Document numbers that one posting list may span.
+SPAN = 65_536
 
-    A token in many documents has up to ``shards`` lists, each of another range of document numbers, so that no list
-    grows with the whole collection.
+
+def posting_lists(docs: DataFrame, number: str = "doc_num") -> DataFrame:
+    """``token, block, postings``: sorted document numbers of each token, one list for each block of numbers.
+
+    A token in many documents has as many lists as there are blocks, so no list grows with the collection.
     """
     rows = _live(docs).select(F.explode(searchable_tokens(F.col("data_json"), F.col("tags"), F.col("content"))).alias("token"), F.col(number).alias("_n"))
-    return rows.groupBy("token", F.pmod(F.floor(F.col("_n") / 65536), F.lit(shards)).alias("shard")).agg(F.array_sort(F.collect_set("_n")).alias("postings"))
+    return rows.groupBy("token", F.floor(F.col("_n") / SPAN).alias("block")).agg(F.array_sort(F.collect_set("_n")).alias("postings"))
 
 
 def elias_fano_bytes(n: Column, greatest: Column) -> Column:
@@ -103,12 +106,14 @@ def elias_fano_bytes(n: Column, greatest: Column) -> Column:
 
 
 def index_stats(docs: DataFrame, number: str = "doc_num") -> DataFrame:
-    """One row ``tokens, postings, documents, compact_bytes, hash_set_bytes`` (48 bytes a posting)."""
+    """One row ``tokens, postings, documents, compact_bytes, hash_set_bytes`` (48 bytes a posting), ratio, bits a posting."""
     rows = _live(docs).select(F.explode(searchable_tokens(F.col("data_json"), F.col("tags"), F.col("content"))).alias("token"), F.col(number).alias("_n"))
     each = rows.groupBy("token").agg(F.count("*").alias("n"), F.max("_n").cast("long").alias("greatest"))
     sized = each.select("n", (elias_fano_bytes(F.col("n"), F.col("greatest")) + 2 * F.length("token")).alias("b"))
     total = sized.agg(F.count("*").alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.coalesce(F.sum("b"), F.lit(0)).alias("compact_bytes"))
-    return total.select("tokens", "postings", _live(docs).agg(F.count("*")).scalar().alias("documents"), "compact_bytes", (F.col("postings") * 48).alias("hash_set_bytes"))
+    total = total.select("tokens", "postings", _live(docs).agg(F.count("*")).scalar().alias("documents"), "compact_bytes", (F.col("postings") * 48).alias("hash_set_bytes"))
+    ratio = F.when(F.col("compact_bytes") > 0, F.col("hash_set_bytes") / F.col("compact_bytes")).otherwise(0.0)
+    return total.withColumns({"ratio": ratio, "bits_per_posting": F.when(F.col("postings") > 0, F.col("compact_bytes") * 8 / F.col("postings")).otherwise(0.0)})
 
 
 def search_postings(index: DataFrame, asked: list[str], limit: int = 100) -> DataFrame:

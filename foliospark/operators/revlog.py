@@ -52,51 +52,53 @@ _RESULT = "seq long, op string, id string, ok boolean, error string, rev string"
 _ARROW = pa.schema([("seq", pa.int64()), ("op", pa.string()), ("id", pa.string()), ("ok", pa.bool_()), ("error", pa.string()), ("rev", pa.string())])
 
 
-def _number(rev: str | None) -> int:
-    head = (rev or "").partition("-")
-    return int(head[0]) if head[1] and head[0].strip().lstrip("+-").isdigit() else 0
-
-
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decides intents sorted by id and seq, the head (seq null) first; only the current revision is held."""
-    last, rev = None, None
+    last, rev, number, known = None, None, 0, False
     for batch in batches:
         out = []
-        for seq, op, i, given, digest in zip(*(c.to_pylist() for c in batch.columns)):
+        for seq, op, i, given, digest, given_number in zip(*(c.to_pylist() for c in batch.columns)):
             if i != last:
-                last, rev = i, None
+                last, rev, number, known = i, None, 0, False
             if seq is None:
-                rev = given
+                rev, number, known = given, given_number, True
                 continue
             error = None
             if not i or not i.strip():
                 error = "Missing _id"
             elif op == "del":
-                error = "Document not found" if rev is None else None if given == rev else "Document update conflict"
-            elif rev is None:
+                error = "Document not found" if not known else None if given == rev else "Document update conflict"
+            elif not known:
                 error = "New document must not provide _rev" if given else None
             elif given != rev:
                 error = "Document update conflict"
             fresh = None
             if error is None:
-                fresh = rev = f"{_number(rev) + 1}-{digest}"
+                number, known = number + 1, True
+                fresh = rev = f"{number}-{digest}"
             out.append((seq, op, i, error is None, error, fresh))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
 
 
+def with_new_ids(intents: DataFrame) -> DataFrame:
+    """``intents`` in which posts without id have a new one. Ids are random, so stage the result before it is used twice."""
+    blank = (F.col("op") == "post") & (F.coalesce(F.trim("id"), F.lit("")) == "")
+    return intents.withColumn("id", F.when(blank, F.replace(F.uuid(), F.lit("-"), F.lit(""))).otherwise(F.col("id")))
+
+
 def apply_intents(current: DataFrame, intents: DataFrame) -> DataFrame:
     """``seq, op, id, ok, error, rev``: what becomes of each intended write, in the order of ``seq`` for each document.
 
     ``intents`` has ``seq, op`` (``put``, ``post`` or ``del``), the document's columns, and in ``rev`` the revision it
-    is based on. A put of an existing document needs its current revision, a new one none; a post without id gets one;
-    a deletion needs the current revision and keeps the body. A deleted document is still a head. Each write sees the
-    ones before it. ``current`` needs ``id, rev, deleted, data_json, tags, content``.
+    is based on; posts have the ids of :func:`with_new_ids`. A put of an existing document needs its current revision
+    (none for a head without one), a new one none; a deletion needs the current revision and keeps the body. A deleted
+    document is still a head. Each write sees the ones before it. ``current`` needs ``id, rev, deleted, data_json, tags,
+    content``.
     """
-    fresh_id = F.when((F.col("op") == "post") & (F.coalesce(F.trim("id"), F.lit("")) == ""), F.md5(F.concat_ws("/", F.lit("post"), F.col("seq").cast("string"), body_hash(F.lit(False))))).otherwise(F.col("id"))
     dead = F.coalesce(F.col("deleted"), F.lit(False)) | (F.col("op") == "del")
-    wanted = intents.select("seq", "op", fresh_id.alias("id"), "rev", body_hash(dead).alias("digest"))
-    known = current.join(wanted.select("id").distinct(), "id", "left_semi").select(F.lit(None).cast("long").alias("seq"), F.lit("head").alias("op"), "id", "rev", F.lit(None).cast("string").alias("digest"))
+    wanted = intents.select("seq", "op", "id", "rev", body_hash(dead).alias("digest"), F.lit(0).alias("number"))
+    known = current.join(wanted.select("id").distinct(), "id", "left_semi").select(F.lit(None).cast("long").alias("seq"), F.lit("head").alias("op"), "id", "rev", F.lit(None).cast("string").alias("digest"), rev_number(F.col("rev")).alias("number"))
     rows = known.union(wanted)
     return rows.repartition("id").sortWithinPartitions("id", F.col("seq").asc_nulls_first()).mapInArrow(_fold, _RESULT)
 

@@ -30,6 +30,17 @@ def keys_by_shard(keys: DataFrame, shards: int, key: str = "id", algorithm: Algo
     return with_shard(keys.select(key).distinct(), shards, key, algorithm).groupBy("shard").agg(F.count("*").alias("n_keys"))
 
 
+def group_by_shards(keys: DataFrame, shards: int, key: str = "id", algorithm: Algorithm = "murmur3", block: int = 10_000) -> DataFrame:
+    """``shard, block, keys``: the different keys of each shard as sorted lists of about ``block`` keys.
+
+    A shard has as many lists as its keys need; keys go to lists by a hash, so no list grows with the collection.
+    """
+    placed = with_shard(keys.select(key).distinct(), shards, key, algorithm)
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("_n"))
+    spread = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / block)).cast("int")
+    return placed.join(F.broadcast(sizes), "shard").groupBy("shard", spread.alias("block")).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
 def topology_diff(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """``key, change``: what was added and what removed."""
     added = after.select(key).distinct().join(before.select(key), key, "left_anti").withColumn("change", F.lit("added"))

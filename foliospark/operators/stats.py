@@ -80,12 +80,23 @@ def speedup(rows: DataFrame, key: str, value: str, base: str) -> DataFrame:
     return rows.withColumn("speedup", ref / F.col(value))
 
 
+def scales(asked: DataFrame, most: int, name: str = "n") -> DataFrame:
+    """The sizes to measure at: different ones, none above ``most``, in order."""
+    return asked.select(F.least(F.col(name), F.lit(most)).alias(name)).where(F.col(name).isNotNull()).distinct().orderBy(name)
+
+
+#: Messages that the counters of a batch carry at most; :func:`batch_errors` has all of them.
+MESSAGES = 1000
+
+
 def batch_result(entries: DataFrame) -> DataFrame:
-    """Counters of an applied batch (``seq, ok, error``): successes, failures, last successful seq.
+    """Counters of an applied batch (``seq, ok, error``): successes, failures, last successful seq, messages by seq.
 
-    The messages stay a table, see :func:`batch_errors`.
+    ``errors`` maps the first thousand failed numbers to their messages; :func:`batch_errors` is the table of all.
     """
-    return entries.agg(F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failed_count"), F.coalesce(F.max(F.when(F.col("ok"), F.col("seq"))), F.lit(0)).alias("last_seq"))
+    first = batch_errors(entries).orderBy("seq").limit(MESSAGES)
+    errors = first.agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("seq", "error"))))).scalar()
+    return entries.agg(F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failed_count"), F.coalesce(F.max(F.when(F.col("ok"), F.col("seq"))), F.lit(0)).alias("last_seq")).select("*", errors.alias("errors"))
 
 
 def batch_errors(entries: DataFrame) -> DataFrame:

@@ -134,26 +134,35 @@ def append_log(rows: DataFrame, folder: str, epoch: int = 0) -> None:
     rows.write.mode("append").option("ignoreNullFields", False).json(f"{folder}/epoch={epoch}")
 
 
-def _either(text: Column, name: str) -> Column:
-    return F.coalesce(F.get_json_object(text, f"$.{name[0].lower() + name[1:]}"), F.get_json_object(text, f"$.{name}"))
+def _named(fields: Column, name: str) -> Column:
+    return F.try_element_at(fields, F.lit(name))
+
+
+def _either(fields: Column, name: str) -> Column:
+    return F.coalesce(_named(fields, name[0].lower() + name[1:]), _named(fields, name))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Log rows of JSON lines (column ``value``) with names in either case; blank and bad lines are left out."""
-    good = lines.where(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{"))
-    v, doc = F.col("value"), _either(F.col("value"), "Doc")
-    body = F.when(doc.isNotNull(), F.struct(
-        _either(doc, "Id").alias("id"), _either(doc, "Rev").alias("rev"), F.coalesce(_either(doc, "Deleted").cast("boolean"), F.lit(False)).alias("deleted"),
-        F.coalesce(F.get_json_object(doc, "$.data_json"), _either(doc, "Data")).alias("data_json"), F.from_json(_either(doc, "Tags"), "array<string>").alias("tags"), _either(doc, "Content").alias("content"),
+    """Log rows of JSON lines (column ``value``) with names in either case; blank and bad lines are left out.
+
+    A line is parsed once to its fields and the document in it once more; nothing else looks at the text.
+    """
+    fields = "map<string,string>"
+    rows = lines.where(F.ltrim("value").startswith("{")).select(F.from_json("value", fields).alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    rows = rows.select("v", F.from_json(_either(F.col("v"), "Doc"), fields).alias("d"))
+    v, d = F.col("v"), F.col("d")
+    body = F.when(d.isNotNull(), F.struct(
+        _either(d, "Id").alias("id"), _either(d, "Rev").alias("rev"), F.coalesce(_either(d, "Deleted").cast("boolean"), F.lit(False)).alias("deleted"),
+        F.coalesce(_named(d, "data_json"), _either(d, "Data")).alias("data_json"), F.from_json(_either(d, "Tags"), "array<string>").alias("tags"), _either(d, "Content").alias("content"),
     ))
-    return good.select(_either(v, "Op").alias("op"), _either(v, "Id").alias("id"), _either(v, "Rev").alias("rev"), _either(v, "Seq").cast("long").alias("seq"), body.alias("doc"), _either(v, "Ts").try_cast("timestamp").alias("ts"))
+    return rows.select(_either(v, "Op").alias("op"), _either(v, "Id").alias("id"), _either(v, "Rev").alias("rev"), _either(v, "Seq").try_cast("long").alias("seq"), body.alias("doc"), _either(v, "Ts").try_cast("timestamp").alias("ts"))
 
 
-def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    """All segments of a log; an absent log is empty."""
-    if not _exists(spark, folder):
-        return spark.createDataFrame([], WAL)
-    return parse_log(spark.read.option("recursiveFileLookup", True).text(folder))
+def read_log(spark: SparkSession, folder: str, since: int = 0) -> DataFrame:
+    """The segments of a log from an epoch on; an absent log is empty. Segments before it aren't opened."""
+    names = [s.getPath().getName() for s in _fs(spark, folder).listStatus(_path(spark, folder))] if _exists(spark, folder) else []
+    wanted = [n for n in names if (int(n[6:]) if n.startswith("epoch=") else 0) >= since and not n.startswith((".", "_"))]
+    return parse_log(spark.read.text([f"{folder}/{n}" for n in wanted])) if wanted else spark.createDataFrame([], WAL)
 
 
 def log_bytes(spark: SparkSession, folder: str) -> int:
@@ -179,9 +188,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream = fs.create(fresh, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if _exists(spark, path):
-        fs.delete(_path(spark, path), False)
-    fs.rename(fresh, _path(spark, path))
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, _path(spark, path), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

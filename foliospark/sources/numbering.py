@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.sources.tables import stage
 
@@ -11,17 +12,12 @@ from foliospark.sources.tables import stage
 def numbered(rows: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """``rows`` with consecutive numbers from ``start`` in order.
 
-    Rows are sorted over ranges and written; each range's rows are counted, and only those counts, one for each
-    partition, come to the driver, to shift the numbers within the ranges.
+    Rows are sorted over ranges and written; each range's rows are counted, and the running sum of those counts, one row
+    for each partition of the sort, is broadcast to shift the numbers within the ranges.
     """
     part = F.shiftright(F.monotonically_increasing_id(), 33)
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     fixed = stage(rows.orderBy(*order).select("*", part.alias("_part"), within.alias("_within")), "numbered")
-    counts = {r["_part"]: r["count"] for r in fixed.groupBy("_part").count().collect()}
-    offsets, total = {}, start
-    for p in sorted(counts):
-        offsets[p], total = total, total + counts[p]
-    if not offsets:
-        return fixed.select(*rows.columns, F.lit(0).cast("long").alias(name))
-    shift = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))[F.col("_part")]
-    return fixed.select(*rows.columns, (shift + F.col("_within")).cast("long").alias(name))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = fixed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).alias("_shift"))
+    return fixed.join(F.broadcast(shifts), "_part").select(*rows.columns, (F.col("_shift") + F.col("_within")).cast("long").alias(name))

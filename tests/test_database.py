@@ -19,6 +19,8 @@ def test_catalog(engine):
     assert engine.put("missing", {"id": "x"}).error == "Database not found" and engine.list_dbs() == ["notes"]
     engine.set_seq("notes", 41)
     assert engine.seq("notes") == 41
+    engine.set_seq("notes", -3)
+    assert engine.seq("notes") == 0
     assert engine.delete_db("notes").ok and engine.delete_db("notes").ok and engine.list_dbs() == []
     assert sanitize_name("a/b:c") == "a_b_c"
 
@@ -50,6 +52,55 @@ def test_writing_and_reading(engine):
     assert (s.seq, s.docs_total, s.docs_alive, s.docs_deleted) == (4, 2, 1, 1)
 
 
+def test_equal_posts_are_two_documents(engine):
+    one, two = engine.post("notes", {"content": "hello"}), engine.post("notes", {"content": "hello"})
+    assert one.ok and two.ok and one.id != two.id and len(two.id) == 32
+    assert engine.export_all("notes").count() == 2
+
+
+def test_a_lowered_number_changes_no_document(engine):
+    made = engine.put("notes", {"id": "n", "content": "old"})
+    engine.set_seq("notes", 100)
+    made = engine.put("notes", {"id": "n", "rev": made.rev, "content": "newer"})
+    assert engine.seq("notes") == 101
+    engine.set_seq("notes", 3)
+    engine.put("notes", {"id": "n", "rev": made.rev, "content": "newest"})
+    assert engine.seq("notes") == 4 and engine.get("notes", "n").content == "newest"
+
+
+def test_odd_revisions(spark):
+    heads = spark.createDataFrame([("a", "++3-x"), ("b", "²-x"), ("c", None), ("d", "-2-x"), ("e", " 7 -x")], "id string, rev string")
+    heads = heads.select("id", "rev", F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("data_json"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("content"))
+    intents = heads.withColumn("seq", F.lit(1).cast("long")).withColumn("op", F.lit("put"))
+    assert {r.id: r.rev.rsplit("-", 1)[0] for r in revlog.apply_intents(heads, intents).collect()} == {"a": "1", "b": "1", "c": "1", "d": "1", "e": "8"}
+
+
+def test_adapters(engine):
+    for i in range(3):
+        engine.put("notes", {"id": f"n{i}", "content": "some words", "data_json": '{"k":"v"}'})
+    ok, found, error = engine.full_text("notes", "words", 2)
+    assert ok and [r.id for r in found] == ["n0", "n1"] and error is None
+    ok, found, _ = engine.find("notes", {"data.k": "v"}, offset=1)
+    assert ok and [r.id for r in found] == ["n1", "n2"]
+    ok, found, error = engine.find("notes", numeric=("x",))
+    assert not ok and found == [] and error
+
+
+def test_heads_read_nothing_older_than_the_snapshot(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.create_db("d")
+    first = e.put("d", {"id": "a", "content": "one"})
+    e.snapshot("d")
+    e.put("d", {"id": "a", "rev": first.rev, "content": "two"})
+    e.put("d", {"id": "b", "content": "b"})
+    old = tmp_path / "d" / "wal" / "epoch=0"
+    assert not any("epoch=0" in f for f in e.log("d", 1).inputFiles()) and any("epoch=0" in f for f in e.log("d").inputFiles())
+    assert e.get("d", "a", first.rev).content == "one"
+    for f in old.iterdir():
+        f.unlink()
+    assert {r.id: r.content for r in e.heads("d").collect()} == {"a": "two", "b": "b"} and e.seq("d") == 3
+
+
 def test_a_batch_is_applied_in_order(spark):
     heads = spark.createDataFrame([("a", "3-h", False, None, None, "old")], "id string, rev string, deleted boolean, data_json string, tags array<string>, content string")
     rows = [(1, "put", "a", "3-h", "x"), (2, "put", "a", "3-h", "y"), (3, "put", "b", None, "z"), (4, "del", "b", "1-?", ""), (5, "del", "c", "1-x", ""), (6, "put", "a", None, "w")]

@@ -90,5 +90,20 @@ def test_measurements(spark):
     sizes = spark.createDataFrame([("json", 10, 100), ("json", 10, 100)], "format string, docs int, bytes int")
     assert tuple(stats.bench_sizes(sizes, "bytes", "docs", ["format"]).first()) == ("json", 200, 20.0)
     e = spark.createDataFrame([(1, True, None), (2, False, "bad"), (3, False, None)], "seq long, ok boolean, error string")
-    assert tuple(stats.batch_result(e).first()) == (1, 2, 1)
+    assert tuple(stats.batch_result(e).first())[:3] == (1, 2, 1)
     assert sorted(map(tuple, stats.batch_errors(e).collect())) == [(2, "bad"), (3, "Unknown error")]
+
+
+def test_keys_of_shards_and_scales(spark):
+    rows = spark.createDataFrame([(f"k{i}",) for i in range(100)] * 2, "id string")
+    lists = routing.group_by_shards(rows, 3, block=10).collect()
+    assert sorted(k for r in lists for k in r["keys"]) == sorted(f"k{i}" for i in range(100)) and len(lists) > 6
+    placed = {r.id: r.shard for r in routing.with_shard(rows.distinct(), 3).collect()}
+    assert all(placed[k] == r.shard for r in lists for k in r["keys"])
+    assert [r.n for r in stats.scales(spark.createDataFrame([(5,), (1000,), (5,), (70,), (None,)], "n int"), 100).collect()] == [5, 70, 100]
+
+
+def test_batch_counters(spark):
+    rows = spark.createDataFrame([(1, True, None), (2, False, "gone"), (3, True, None), (4, False, None)], "seq long, ok boolean, error string")
+    r = stats.batch_result(rows).first()
+    assert (r.success_count, r.failed_count, r.last_seq, r.errors) == (2, 2, 3, {2: "gone", 4: "Unknown error"})

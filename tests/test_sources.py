@@ -75,6 +75,24 @@ def test_local_pages(spark, tmp_path):
     assert load.count() == sum(not d["deleted"] for d in DOCS)
 
 
+def test_local_ranges(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.jsonl").write_text("\ufeff" + "\n".join(json.dumps(d) for d in DOCS[:30]) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps(d) for d in DOCS[30:]))
+    for part in (7, 50, 333, 1 << 20):
+        monkeypatch.setattr(rest, "FILE_PART", part)
+        reader = rest.DocumentReader({"path": str(tmp_path), "includeDeleted": "true"})
+        assert [r[0] for p in reader.partitions() for r in reader.read(p)] == [d["id"] for d in DOCS]
+        few = rest.DocumentReader({"path": str(tmp_path), "includeDeleted": "true", "maxRows": "33"})
+        assert [r[0] for p in few.partitions() for r in few.read(p)] == [d["id"] for d in DOCS[:33]]
+
+
+def test_a_server_without_counts_loses_nothing(monkeypatch):
+    for n in (0, 1, 2, 57, 64, 1001):
+        reader = rest.DocumentReader({})
+        monkeypatch.setattr(reader, "_get", lambda route, missing_ok=False, n=n: None if route == "_stats" else {"items": [1] * max(0, min(1, n - int(route.split("skip=")[1].split("&")[0])))})
+        assert reader._total() == n
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('﻿{"a":1,"b":null,"c":{"d":null,"e":[null,5.0]}}\n\n  \nbad line\n[1,2]\n{"z":"x"}\n')

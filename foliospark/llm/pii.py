@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -56,19 +57,25 @@ _WAY_ES = r"(?:Calle|C/|Plaza|Pl\.|Avenida|Avda\.|Av\.|Paseo|Camino|Ronda|Traves
 _WAY_DE = r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|chaussee)"
 _WAY_RU = r"(?:ул\.|улица|пер\.|переулок|пр\.|пр-т|просп\.|проспект|пл\.|площадь|наб\.|набережная|бул\.|бульвар|ш\.|шоссе)"
 _PART_RU = rf"(?:,?{_S}(?:кв\.|квартира|корп\.|корпус|к\.|стр\.|строение|эт\.|этаж|оф\.|офис|под\.){_S}?\d+\p{{L}}?)*"
-#: Address forms, each after a hint without which it can't occur.
+_HINT_EN = ("road", "rd", "street", "st", "lane", "ln", "close", "ave", "cres", "dr", "way", "court", "ct", "place", "boulevard", "blvd", "terrace", "sq", "gardens", "row", "hill", "parade", "grove")
+_HINT_FR = ("rue", "ave", "av.", "place", "quai", "boulevard", "bd", "chemin", "allée", "impasse", "cours", "route", "passage", "square")
+_HINT_ES = ("calle", "c/", "plaza", "pl.", "avenida", "avda.", "av.", "paseo", "camino", "ronda", "travesía", "carrera")
+_HINT_AT = ("am", "an", "im", "in", "zum", "zur", "auf", "unter")
+_HINT_DE = ("strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "chaussee")
+_HINT_RU = ("ул", "пер", "пр", "пл", "наб", "бул", "ш.", "шоссе")
+#: Address forms, each with case-folded pieces of text one of which every match holds.
 ADDRESS = [
-    (regex.compile(hint), regex.compile(form))
+    (hint, regex.compile(form))
     for hint, form in (
-        (rf"(?i:{_WAY_EN})(?![\p{{L}}\p{{N}}])", rf"(?i:{_UNIT_EN}){_S}(?:\d+\p{{L}}?|\p{{L}}),{_S}\d+[A-Za-z]?(?:{_S}(?:{_CAP}|\p{{Lu}}\.)){{1,3}}{_S}(?i:{_WAY_EN})(?![\p{{L}}\p{{N}}])"),
-        (rf"(?i:{_WAY_EN})(?![\p{{L}}\p{{N}}])", rf"(?<![\p{{L}}\p{{N}}.,/:\-])\d+[A-Za-z]?(?:-\d+)?(?:{_S}(?:{_CAP}|\p{{Lu}}\.)){{1,3}}?{_S}(?i:{_WAY_EN})(?![\p{{L}}\p{{N}}])(?:\.?,{_S}(?i:{_UNIT_EN}){_S}(?:\d+\p{{L}}?|\p{{Lu}})(?![\p{{L}}\p{{N}}]))?"),
-        (rf"\d.{{0,12}}(?i:{_WAY_FR}){_S}", rf"(?<![\p{{L}}\p{{N}}.,/:\-])\d+(?:{_S}?(?:bis|ter|quater|[A-D])(?!\p{{L}}))?,?{_S}(?i:{_WAY_FR}){_S}(?:(?:de{_S}la|de{_S}l['’]|des|du|de|d['’]){_S}?)?{_CAP}(?:{_S}{_CAP})?(?:,{_S}(?:(?:bât\.|bâtiment|appt\.?|appartement|apt\.|esc\.|escalier|porte){_S}?\p{{N}}*\p{{Lu}}?|\d+(?:er|e|ème){_S}étage)(?!\p{{L}}))*"),
-        (rf"(?i:{_WAY_ES}).*\d", rf"(?<!\p{{L}})(?i:{_WAY_ES}){_S}?(?:(?:de{_S}los|de{_S}las|de{_S}la|del|de){_S})?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:n\.?{_S}?[ºo°]{_S}?|n[ºo°]\.?{_S}?|núm\.?{_S}?)?\d+(?:{_S}?(?:bis|\p{{Lu}}))?(?![\p{{L}}\p{{N}}])(?:,{_S}(?:\d+\.?[ºªo°](?:{_S}?(?:\p{{Lu}}|izq|dcha|izda)(?!\p{{L}}))?|bajo(?:{_S}\p{{Lu}})?|piso{_S}\d+\p{{L}}?|puerta{_S}\w+))*"),
-        (rf"(?:Am|An|Im|In|Zum|Zur|Auf|Unter){_S}[^\d\n]{{3,60}}{_S}\d", rf"(?<!\p{{L}})(?:Am|An{_S}der|An{_S}den|Im|In{_S}der|Zum|Zur|Auf{_S}der|Auf{_S}dem|Unter{_S}den){_S}{_CAP}(?:{_S}{_CAP})?{_S}\d+(?:{_S}?[a-z](?!\p{{L}}))?(?![\p{{L}}\p{{N}}])(?:,{_S}(?:\d+\.{_S}?(?:OG|UG|DG|Stock|Etage)|EG|DG|(?:Whg\.|Wohnung){_S}\d+)(?!\p{{L}}))*"),
-        (rf"(?i:{_WAY_DE}){_S}?\d", rf"(?<!\p{{L}}){_CAP}(?:(?i:{_WAY_DE})|[\s-](?:Straße|Str\.|Weg|Platz|Allee|Gasse|Ring|Damm|Ufer)){_S}?\d+(?:{_S}?[a-z](?!\p{{L}}))?(?![\p{{N}}])(?:,{_S}(?:\d+\.{_S}?(?:OG|UG|DG|Stock|Etage)|EG|DG|(?:Whg\.|Wohnung){_S}\d+)(?!\p{{L}}))*"),
-        (rf"{_WAY_RU}.*\d", rf"(?<!\p{{L}}){_WAY_RU}{_S}?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:д\.{_S}?|дом{_S})?\d+(?:[а-яА-Я](?!\p{{L}}))?(?:/\d+)?{_PART_RU}"),
-        (rf"{_WAY_RU}.*\d", rf"(?<!\p{{L}}){_CAP}{_S}{_WAY_RU},?{_S}(?:д\.{_S}?|дом{_S})?\d+(?:[а-яА-Я](?!\p{{L}}))?(?:/\d+)?{_PART_RU}"),
-        (r"\d号", r"[\p{Han}]{1,8}(?:路|街|巷|弄|大道)\d+号(?:\d+(?:号楼|单元|楼|层|室))*"),
+        (("flat", "unit", "apt", "apartment", "suite", "floor", "room"), rf"(?i:{_UNIT_EN}){_S}(?:\d+\p{{L}}?|\p{{L}}),{_S}\d+[A-Za-z]?(?:{_S}(?:{_CAP}|\p{{Lu}}\.)){{1,3}}{_S}(?i:{_WAY_EN})(?![\p{{L}}\p{{N}}])"),
+        (_HINT_EN, rf"(?<![\p{{L}}\p{{N}}.,/:\-])\d+[A-Za-z]?(?:-\d+)?(?:{_S}(?:{_CAP}|\p{{Lu}}\.)){{1,3}}?{_S}(?i:{_WAY_EN})(?![\p{{L}}\p{{N}}])(?:\.?,{_S}(?i:{_UNIT_EN}){_S}(?:\d+\p{{L}}?|\p{{Lu}})(?![\p{{L}}\p{{N}}]))?"),
+        (_HINT_FR, rf"(?<![\p{{L}}\p{{N}}.,/:\-])\d+(?:{_S}?(?:bis|ter|quater|[A-D])(?!\p{{L}}))?,?{_S}(?i:{_WAY_FR}){_S}(?:(?:de{_S}la|de{_S}l['’]|des|du|de|d['’]){_S}?)?{_CAP}(?:{_S}{_CAP})?(?:,{_S}(?:(?:bât\.|bâtiment|appt\.?|appartement|apt\.|esc\.|escalier|porte){_S}?\p{{N}}*\p{{Lu}}?|\d+(?:er|e|ème){_S}étage)(?!\p{{L}}))*"),
+        (_HINT_ES, rf"(?<!\p{{L}})(?i:{_WAY_ES}){_S}?(?:(?:de{_S}los|de{_S}las|de{_S}la|del|de){_S})?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:n\.?{_S}?[ºo°]{_S}?|n[ºo°]\.?{_S}?|núm\.?{_S}?)?\d+(?:{_S}?(?:bis|\p{{Lu}}))?(?![\p{{L}}\p{{N}}])(?:,{_S}(?:\d+\.?[ºªo°](?:{_S}?(?:\p{{Lu}}|izq|dcha|izda)(?!\p{{L}}))?|bajo(?:{_S}\p{{Lu}})?|piso{_S}\d+\p{{L}}?|puerta{_S}\w+))*"),
+        (_HINT_AT, rf"(?<!\p{{L}})(?:Am|An{_S}der|An{_S}den|Im|In{_S}der|Zum|Zur|Auf{_S}der|Auf{_S}dem|Unter{_S}den){_S}{_CAP}(?:{_S}{_CAP})?{_S}\d+(?:{_S}?[a-z](?!\p{{L}}))?(?![\p{{L}}\p{{N}}])(?:,{_S}(?:\d+\.{_S}?(?:OG|UG|DG|Stock|Etage)|EG|DG|(?:Whg\.|Wohnung){_S}\d+)(?!\p{{L}}))*"),
+        (_HINT_DE, rf"(?<!\p{{L}}){_CAP}(?:(?i:{_WAY_DE})|[\s-](?:Straße|Str\.|Weg|Platz|Allee|Gasse|Ring|Damm|Ufer)){_S}?\d+(?:{_S}?[a-z](?!\p{{L}}))?(?![\p{{N}}])(?:,{_S}(?:\d+\.{_S}?(?:OG|UG|DG|Stock|Etage)|EG|DG|(?:Whg\.|Wohnung){_S}\d+)(?!\p{{L}}))*"),
+        (_HINT_RU, rf"(?<!\p{{L}}){_WAY_RU}{_S}?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:д\.{_S}?|дом{_S})?\d+(?:[а-яА-Я](?!\p{{L}}))?(?:/\d+)?{_PART_RU}"),
+        (_HINT_RU, rf"(?<!\p{{L}}){_CAP}{_S}{_WAY_RU},?{_S}(?:д\.{_S}?|дом{_S})?\d+(?:[а-яА-Я](?!\p{{L}}))?(?:/\d+)?{_PART_RU}"),
+        (("号",), r"[\p{Han}]{1,8}(?:路|街|巷|弄|大道)\d+号(?:\d+(?:号楼|单元|楼|层|室))*"),
     )
 ]
 
@@ -123,8 +130,8 @@ _AT_HINT = regex.compile(r"[\[({]\s?at\s?[\])}]|\bdot\b", regex.I)
 _DIGIT = regex.compile(r"\d")
 _DIGITS = regex.compile(r"\d(?:[^\d\n\x00]{0,3}\d){5}")  # no number that is sought has fewer digits this close together
 # Titles that stand before a person's name.
-_TITLES = r"Dr|Prof|Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|M|Sr|Sra|Srta|Don|Doña|г-н|г-жа|господин|госпожа"
-TITLE = regex.compile(rf"(?<!\p{{L}})(?:{_TITLES})\.?{_S}\p{{Lu}}")
+_TITLES = r"Dr|Prof|Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|M(?=\.)|Sr|Sra|Srta|Don|Doña|г-н|г-жа|господин|госпожа"
+_HINT_TITLE = ("Dr", "Prof", "Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Mlle", "M.", "Sr", "Don", "Doña", "г-н", "г-жа", "господин", "госпожа")
 TITLED = regex.compile(rf"(?<!\p{{L}})(?:(?:{_TITLES})\.?{_S})+({_CAP}{_JOIN.pattern}{_CAP})(?!{_S}{_CAP})(?![\p{{L}}\p{{N}}])")
 KINDS = ("name", "email", "phone", "id_number", "address")
 
@@ -173,6 +180,12 @@ class Names:
 
     def find(self, text: str) -> Iterator[tuple[int, int]]:
         """Spans of full names: given family, with initials and particles; family, given; family given."""
+        known, roles = self._roles, 0
+        for word in _TOKEN.findall(text):
+            if len(word) > 2 and (self.roles(word) if (bits := known.get(word)) is None else bits):
+                roles += 1
+        if roles < 2:
+            return
         words = [(m.start(), m.end(), bits) for m in _TOKEN.finditer(text) if m.end() - m.start() > 2 and (bits := self.roles(m.group()))]
         i = 0
         while i < len(words) - 1:
@@ -221,14 +234,15 @@ def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
     if "@" in text or _AT_HINT.search(text):
         take("email", EMAIL)
     if _DIGIT.search(text):
-        for hint, form in ADDRESS:
-            if hint.search(masked):
+        low = masked.casefold()
+        for hints, form in ADDRESS:
+            if any(h in low for h in hints):
                 take("address", form)
         if _DIGITS.search(masked):
             take("id_number", ID_NUMBER)
             take("phone", PHONE)
     named = list(names.find(masked))
-    if TITLE.search(masked):
+    if any(t in masked for t in _HINT_TITLE):
         named += [(s, e) for s, e in names.titled(masked) if not any(a < e and s < b for a, b in named)]
     return sorted(taken + [(s, e, "name") for s, e in named])
 
@@ -237,9 +251,7 @@ def _feistel(value: int, size: int, key: bytes, undo: bool = False) -> int:
     """A keyed permutation of the numbers below ``size``: an alternating Feistel network, walked on beyond the border."""
     if size < 2:
         return value
-    b = 1
-    while b * b < size:
-        b += 1
+    b = isqrt(size - 1) + 1
     sizes = (-(-size // b), b)
     while True:
         halves = [value // b, value % b]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from foliospark.functions import codecs, fields
 from foliospark.functions.text import tokens
 from foliospark.operators import indexes, revlog, routing, search, sets, stats
+from foliospark.plans.kept import kept_index
 from foliospark.sources import files
+from foliospark.sources.numbering import numbered
 from foliospark.sources.schema import docs_view
 from foliospark.sources.tables import table
 
@@ -96,9 +98,9 @@ def find_eq_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_LIVE.format(where="json_type(j, '$.profile.city') = 'VARCHAR' AND (j ->> '$.profile.city') = (SELECT min(x.j ->> '$.profile.city') FROM docs x WHERE NOT x.deleted AND json_type(x.j, '$.profile.city') = 'VARCHAR')", limit=100))
 def find_eq_path(spark: SparkSession, sf: str) -> DataFrame:
-    docs = docs_view(spark, sf)
-    city = docs.where(~F.col("deleted")).agg(F.min(fields.path_text(F.col("data_json"), "profile.city"))).first()[0]
-    return search.find_by_fields(docs, {"data.profile.city": city or ""}).select("id", "rev")
+    index = kept_index(spark, sf)
+    city = docs_view(spark, sf).where(~F.col("deleted")).agg(F.min(fields.path_text(F.col("data_json"), "profile.city"))).first()[0]
+    return index.fetch(index.by_fields({"data.profile.city": city or ""})).select("id", "rev")
 
 
 @query(_LIVE.format(where="(json_type(j, '$.active') = 'BOOLEAN' OR json_type(j, '$.active') = 'VARCHAR') AND (j ->> '$.active') = 'true'", limit=1000))
@@ -113,6 +115,16 @@ def find_eq_multi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_LIVE.format(where="json_type(j, '$.rating') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(j ->> '$.rating' AS DOUBLE) BETWEEN 3 AND 7", limit=1000))
 def find_range_closed(spark: SparkSession, sf: str) -> DataFrame:
+    index = kept_index(spark, sf)
+    return index.fetch(index.by_fields(None, ("data.rating", 3, 7), limit=1000)).select("id", "rev")
+
+
+_RATED = "json_type(j, '$.rating') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(j ->> '$.rating' AS DOUBLE) BETWEEN 3 AND 7"
+
+
+@query(_LIVE.format(where=_RATED, limit=1000))
+def find_range_unindexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without an index."""
     return search.find_by_fields(docs_view(spark, sf), None, ("data.rating", 3, 7), limit=1000).select("id", "rev")
 
 
@@ -152,7 +164,8 @@ def tags_none(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_tags(f"list_has_all({_KEYS}, ['ACTIVE']) AND list_has_any({_KEYS}, ['URGENT', 'BLUE']) AND NOT list_has_any({_KEYS}, ['LEGACY'])"))
 def tags_combo(spark: SparkSession, sf: str) -> DataFrame:
-    return search.find_by_tags(docs_view(spark, sf), ["active"], ["urgent", "blue"], ["legacy"], limit=1000).select("id", "rev")
+    index = kept_index(spark, sf)
+    return index.fetch(index.by_tags(["active"], ["urgent", "blue"], ["legacy"], limit=1000)).select("id", "rev")
 
 
 @query(_tags("false"))
@@ -166,17 +179,26 @@ def _fts(words: str, limit: int = 100, order: str = "id") -> str:
 
 @query(_fts("['the', 'beside']"))
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
+    index = kept_index(spark, sf)
+    return index.fetch(index.full_text("The BESIDE")).select("id", "rev")
+
+
+@query(_fts("['the', 'beside']"))
+def fts_unindexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without an index: every document is tokenised."""
     return search.full_text_search(docs_view(spark, sf), "The BESIDE").select("id", "rev")
 
 
 @query(_fts("['urgent']", 1000))
 def fts_single(spark: SparkSession, sf: str) -> DataFrame:
-    return search.full_text_search(docs_view(spark, sf), "urgent", limit=1000).select("id", "rev")
+    index = kept_index(spark, sf)
+    return index.fetch(index.full_text("urgent", limit=1000)).select("id", "rev")
 
 
 @query(_fts("['zzznothing']"))
 def fts_miss(spark: SparkSession, sf: str) -> DataFrame:
-    return search.full_text_search(docs_view(spark, sf), "zzznothing").select("id", "rev")
+    index = kept_index(spark, sf)
+    return index.fetch(index.full_text("zzznothing")).select("id", "rev")
 
 
 @query(_fts("['note', 'the']", 1000))
@@ -186,7 +208,8 @@ def fts_data_and_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_fts("['the', 'beside']", 100, "md5(id), id"))
 def fts_compact_order(spark: SparkSession, sf: str) -> DataFrame:
-    return search.full_text_search_compact(docs_view(spark, sf).withColumn("doc_num", F.md5("id")), "the beside").select("id", "rev")
+    index = kept_index(spark, sf)
+    return index.fetch(index.full_text("the beside", order=("doc_num",))).select("id", "rev")
 
 
 @query(_DOCS + _LEAVES + "SELECT token, count(*) AS df FROM (SELECT unnest(w) AS token FROM tok WHERE NOT deleted) GROUP BY token")
@@ -203,11 +226,10 @@ e AS (SELECT token, count(*) AS n, max(k) AS hi FROM (SELECT unnest(w) AS token,
 s AS (SELECT token, n, hi, CASE WHEN hi < n THEN 0 ELSE {_EF} END AS low FROM e),
 b AS (SELECT n, ((n + (hi >> low)) + 63) // 64 AS hw, (n * low + 63) // 64 AS lw, length(token) AS t FROM s)
 SELECT count(*) AS tokens, CAST(sum(n) AS BIGINT) AS postings, (SELECT count(*) FROM docs WHERE NOT deleted) AS documents,
-  CAST(sum(hw * 8 + (hw + 1) * 4 + 8 + lw * 8 + 12 + 2 * t) AS BIGINT) AS compact_bytes, CAST(sum(n) * 48 AS BIGINT) AS hash_set_bytes FROM b
+  CAST(sum(hw * 8 + (hw + 1) * 4 + 8 + lw * 8 + 12 + 2 * t) AS BIGINT) AS compact_bytes, CAST(sum(n) * 48 AS BIGINT) AS hash_set_bytes,
+  sum(n) * 48 / sum(hw * 8 + (hw + 1) * 4 + 8 + lw * 8 + 12 + 2 * t) AS ratio, sum(hw * 8 + (hw + 1) * 4 + 8 + lw * 8 + 12 + 2 * t) * 8 / sum(n) AS bits_per_posting FROM b
 """)
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    from foliospark.sources.numbering import numbered
-
     return indexes.index_stats(numbered(docs_view(spark, sf), ["id"], "doc_num", 1))
 
 
@@ -303,19 +325,19 @@ i AS (SELECT id, rev AS head, CASE CAST(id[-1:] AS INTEGER) % 3 WHEN 0 THEN rev
 
 
 def _intents(spark: SparkSession, sf: str, op: str) -> tuple[DataFrame, DataFrame]:
-    docs = docs_view(spark, sf).where(F.col("rev").isNotNull())
+    docs = docs_view(spark, sf)
     kind = F.right("id", F.lit(1)).cast("int") % 3
     changed = docs.withColumn("rev", F.when(kind == 0, F.col("rev")).when(kind == 1, "0-stale")).withColumn("content", F.lit("changed"))
     return docs, changed.select(F.xxhash64("id").alias("seq"), F.lit(op).alias("op"), "id", "rev", "deleted", "data_json", "tags", "content")
 
 
-@query(_INTENTS + "SELECT id, given IS NOT DISTINCT FROM head AS ok, CASE WHEN given IS NOT DISTINCT FROM head THEN NULL ELSE 'Document update conflict' END AS error, CASE WHEN given = head THEN TRY_CAST(split_part(head, '-', 1) AS INTEGER) + 1 END AS rev_number FROM i WHERE head IS NOT NULL")
+@query(_INTENTS + "SELECT id, given IS NOT DISTINCT FROM head AS ok, CASE WHEN given IS NOT DISTINCT FROM head THEN NULL ELSE 'Document update conflict' END AS error, CASE WHEN given IS NOT DISTINCT FROM head THEN coalesce(TRY_CAST(split_part(head, '-', 1) AS INTEGER), 0) + 1 END AS rev_number FROM i")
 def put_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     docs, intents = _intents(spark, sf, "put")
     return revlog.apply_intents(docs, intents).select("id", "ok", "error", F.when(F.col("rev").isNotNull(), revlog.rev_number(F.col("rev"))).alias("rev_number"))
 
 
-@query(_INTENTS + "SELECT id, true AS deleted, TRY_CAST(split_part(head, '-', 1) AS INTEGER) + 1 AS rev_number FROM i WHERE head IS NOT NULL AND given = head")
+@query(_INTENTS + "SELECT id, true AS deleted, coalesce(TRY_CAST(split_part(head, '-', 1) AS INTEGER), 0) + 1 AS rev_number FROM i WHERE given IS NOT DISTINCT FROM head")
 def delete_tombstones(spark: SparkSession, sf: str) -> DataFrame:
     docs, intents = _intents(spark, sf, "del")
     rows = revlog.accepted(revlog.apply_intents(docs, intents), intents)
@@ -349,6 +371,15 @@ def postings_search(spark: SparkSession, sf: str) -> DataFrame:
     return indexes.search_postings(indexes.token_index(docs_view(spark, sf)), ["the", "beside"])
 
 
+@query(_DOCS + _LEAVES + """
+, num AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM docs)
+SELECT token, 0 AS block, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS postings FROM (SELECT unnest(w) AS token, k FROM tok JOIN num USING (id) WHERE NOT deleted) GROUP BY token
+""")
+def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
+    lists = indexes.posting_lists(numbered(docs_view(spark, sf), ["id"], "doc_num", 1))
+    return lists.select("token", "block", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
+
+
 @query(_DOCS + "SELECT id, coalesce(CAST(length(content) AS INTEGER), 0) AS content_len, deleted FROM docs")
 def binary_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to their binary form and back."""

@@ -24,6 +24,11 @@ def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.cube_sample(table(spark, sf, "news_articles"), table(spark, sf, "category_targets"))[0]
 
 
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample itself, counted: rows and different articles of each category that has any."""
+    return p2_sample(spark, sf).groupBy("category").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     news = table(spark, sf, "news_articles").select(F.lit("news_articles").alias("tab"), "id", F.concat(F.coalesce("headline", F.lit("")), F.lit(" "), F.coalesce("short_description", F.lit(""))).alias("text"))
     return news.union(table(spark, sf, "document_store").select(F.lit("document_store"), "id", "content"))
@@ -77,7 +82,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_list"), _key(spark))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_groups, p4_found, p4_scores, p8_ids, p9_found, p9_items, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p2_counts, p3_found, p3_groups, p4_found, p4_scores, p8_ids, p9_found, p9_items, p10_found, p10_redacted)}
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
 
@@ -120,6 +125,7 @@ SQL = {
     "p9_items": _LEAKS + "SELECT item_id, count(*) AS n_docs FROM found GROUP BY item_id",
     "p2_found": _NEED + "SELECT category FROM r WHERE available < needed",
     "p2_report": _NEED + "SELECT category, needed, available, least(needed, available) AS sampled, greatest(needed - available, 0) AS shortfall, least(needed, available) - needed AS residual FROM r",
+    "p2_counts": _NEED + "SELECT category, least(needed, available) AS n_rows, least(needed, available) AS n_ids FROM r WHERE least(needed, available) > 0",
     "p3_groups": _PAIRS.replace("WITH texts", "WITH RECURSIVE texts")
     + """, kin AS (SELECT tab, id_a, id_b FROM inter WHERE c >= 0.6 * (n_a + n_b - c)),
     cls AS (SELECT tab, id, min(id) OVER (PARTITION BY tab, list_sort(w)) AS class_id FROM big),

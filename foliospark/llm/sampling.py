@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,55 +26,77 @@ BUCKET_ROWS = 8_192
 FAN_IN = 64
 
 _FLOWN = "key string, cat string, psi long, size long, bucket long, draw long"
-_ARROW = pa.schema([("key", pa.string()), ("cat", pa.string()), ("psi", pa.int64()), ("size", pa.int64()), ("bucket", pa.int64()), ("draw", pa.int64())])
+_NAMES = ["key", "cat", "psi", "size", "bucket", "draw"]
 
 
-def _mix(x: int, y: int) -> float:
-    """A number in [0, 1) that depends on the two articles' draws alone, so that a repeated task decides alike."""
-    z = (x * 0x9E3779B97F4A7C15 + y + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
-    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return ((z ^ (z >> 31)) >> 11) / (1 << 53)
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) that depend on the articles' draws alone, so that a repeated task decides alike."""
+    with np.errstate(over="ignore"):
+        z = np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(y).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) / 2.0**64
 
 
-def flight_step(a: int, b: int, size: int, u: float) -> tuple[int, int]:
+def flight_step(a: np.ndarray, b: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One step from inclusion numerators ``a, b`` (over ``size``): along (1, -1) or back, to the cube's border."""
-    up, down = min(size - a, b), min(a, size - b)
-    return (a + up, b - up) if u * (up + down) < down else (a - down, b + down)
+    up, down = np.minimum(size - a, b), np.minimum(a, size - b)
+    forth = u * (up + down) < down
+    return np.where(forth, a + up, a - down), np.where(forth, b - up, b + down)
+
+
+def fly(psi: np.ndarray, size: np.ndarray, group: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The numerators after flights within groups (rows in order of groups): at most one in each is left undecided.
+
+    Every round pairs neighbours among a group's undecided rows and takes a step in each pair, so at least one of the
+    two is decided; all groups fly together.
+    """
+    psi = psi.copy()
+    open_ = np.nonzero((psi > 0) & (psi < size))[0]
+    while len(open_):
+        g = group[open_]
+        start = np.nonzero(np.diff(g, prepend=g[0] - 1))[0]
+        place = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+        first = np.nonzero((place[:-1] % 2 == 0) & (g[:-1] == g[1:]))[0]
+        if not len(first):
+            break
+        i, j = open_[first], open_[first + 1]
+        psi[i], psi[j] = flight_step(psi[i], psi[j], size[i], _mix(draw[i], draw[j]))
+        open_ = open_[(psi[open_] > 0) & (psi[open_] < size[open_])]
+    return psi
 
 
 def _flight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flights over rows sorted by bucket, category and draw: one article is pending at any time."""
-    held: tuple | None = None
-    last: tuple = (None, None)
+    """Flights over rows sorted by bucket, category and draw, for all buckets that are complete; the last one is held."""
+
+    def flown(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        bucket, psi, size, draw = (table.column(c).to_numpy() for c in ("bucket", "psi", "size", "draw"))
+        cat = table.column("cat").combine_chunks().dictionary_encode().indices.to_numpy()
+        group = np.cumsum((np.diff(bucket, prepend=bucket[0]) != 0) | (np.diff(cat, prepend=cat[0]) != 0))
+        psi = fly(psi, size, group, draw)
+        yield from table.set_column(2, "psi", pa.array(psi)).to_batches()
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (row[4], row[1]) != last:
-                if held is not None:
-                    out.append(held)
-                held, last = None, (row[4], row[1])
-            if row[2] in (0, row[3]):
-                out.append(row)
-            elif held is None:
-                held = row
-            else:
-                a, b = flight_step(held[2], row[2], row[3], _mix(held[5], row[5]))
-                pair = ((*held[:2], a, *held[3:]), (*row[:2], b, *row[3:]))
-                held = None
-                for x in pair:
-                    if x[2] in (0, x[3]):
-                        out.append(x)
-                    else:
-                        held = x
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(held, _ARROW.types)], schema=_ARROW)
-
-
-def _fly(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(max(1, buckets), "bucket").sortWithinPartitions("bucket", "cat", "draw", "key").mapInArrow(_flight, _FLOWN)
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bucket").to_numpy()
+        if held and held[-1].column("bucket")[-1].as_py() != bucket[0]:
+            yield from flown(pa.Table.from_batches(held))
+            held = []
+        cut = int(np.searchsorted(bucket, bucket[-1], "left"))
+        if cut:
+            yield from flown(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from flown(pa.Table.from_batches(held))
+
+
+def _fly(rows: DataFrame) -> DataFrame:
+    """A partition holds as many buckets as fall to it, in order: their number follows the rows, that of tasks doesn't."""
+    return rows.select(*_NAMES).repartition("bucket").sortWithinPartitions("bucket", "cat", "draw", "key").mapInArrow(_flight, _FLOWN)
 
 
 def _targets(targets: DataFrame) -> DataFrame:
@@ -106,13 +129,13 @@ def cube_sample(rows: DataFrame, targets: DataFrame, key: str = "id", category:
     draw = F.xxhash64(F.lit(seed).cast("long"), "key", "cat")
     psi = F.least("needed", "size")
     rows_in = units.join(plan.select("cat", psi.alias("psi"), "size"), "cat").withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(buckets))).withColumn("draw", draw)
-    flown = stage(_fly(rows_in.select(*_ARROW.names), buckets), "flight")
+    flown = stage(_fly(rows_in), "flight")
     open_ = (F.col("psi") > 0) & (F.col("psi") < F.col("size"))
     taken = flown.where(F.col("psi") == F.col("size"))
     while buckets > 1:
         buckets = -(-buckets // FAN_IN)
         up = flown.where(open_).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-        flown = stage(_fly(up, buckets), "flight")
+        flown = stage(_fly(up), "flight")
         taken = taken.unionByName(flown.where(F.col("psi") == F.col("size")))
     # Landing: a remainder below one article, which whole numerators leave only if a target was no whole number of rows.
     landed = flown.where(open_ & (F.pmod("draw", F.col("size")) < F.col("psi")))

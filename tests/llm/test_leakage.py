@@ -41,11 +41,11 @@ def test_leaks_against_brute_force(spark):
         assert {tuple(r) for r in leakage.leaks(a, b).collect()} == brute(docs, items)
 
 
-def test_several_passes_and_long_passages(spark, monkeypatch):
+def test_passages_beyond_the_bound_and_long_ones(spark, monkeypatch):
     monkeypatch.setattr(leakage, "PASS_WORDS", 300)
     monkeypatch.setattr(leakage, "PIECE", 20)
     docs, items = make(9, 150)
-    a, b = frames(spark, docs, items)
+    a, b = frames(spark, docs + docs[:9], items + items[:3])
     assert {tuple(r) for r in leakage.leaks(a, b).collect()} == brute(docs, items)
 
 

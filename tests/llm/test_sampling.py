@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from foliospark.llm import sampling
@@ -52,26 +53,30 @@ def test_steps_keep_the_sum_and_the_probabilities():
     for _ in range(500):
         size = rnd.randint(2, 50)
         a, b = rnd.randint(1, size - 1), rnd.randint(1, size - 1)
-        x, y = sampling.flight_step(a, b, size, rnd.random())
+        x, y = map(int, sampling.flight_step(a, b, size, rnd.random()))
         assert x + y == a + b and 0 <= min(x, y) and max(x, y) <= size and {x, y} & {0, size}
     mean = sum(sampling.flight_step(30, 20, 100, (i + 0.5) / 10_000)[0] for i in range(10_000)) / 10_000
     assert abs(mean - 30) < 0.1
 
 
+def test_groups_fly_apart():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 40, 1000))
+    size = np.full(1000, 97)
+    psi = rng.integers(0, 98, 1000)
+    out = sampling.fly(psi, size, group, rng.integers(-(2**63), 2**63, 1000))
+    for g in range(40):
+        own = group == g
+        assert out[own].sum() == psi[own].sum() and ((out[own] > 0) & (out[own] < 97)).sum() <= 1
+
+
 def test_every_article_is_as_likely(spark, monkeypatch):
     monkeypatch.setattr(sampling, "BUCKET_ROWS", 16)
     monkeypatch.setattr(sampling, "FAN_IN", 2)
     hits = Counter()
     for seed in range(300):
-        rows = sorted((((i * 7919 + seed * 104729) % 1009, i) for i in range(20)))
-        psi = {i: 5 for _, i in rows}
-        held = None
-        for draw, i in rows:
-            if held is None:
-                held = (i, draw)
-                continue
-            psi[held[0]], psi[i] = sampling.flight_step(psi[held[0]], psi[i], 20, sampling._mix(held[1], draw))
-            held = next(((j, d) for j, d in (held, (i, draw)) if 0 < psi[j] < 20), None)
-        assert sum(psi.values()) == 100
-        hits.update(i for i, p in psi.items() if p == 20)
+        draw, place = zip(*sorted((((i * 7919 + seed * 104729) % 1009, i) for i in range(20))))
+        psi = sampling.fly(np.full(20, 5), np.full(20, 20), np.zeros(20, np.int64), np.array(draw))
+        assert psi.sum() == 100 and set(psi.tolist()) == {0, 20}
+        hits.update(i for i, p in zip(place, psi) if p == 20)
     assert min(hits[i] for i in range(20)) > 40 and max(hits.values()) < 115  # 75 expected

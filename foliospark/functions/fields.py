@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.json_tree import leaves, parse
 from foliospark.functions.text import tokens
 
 # Texts that .NET's float style reads as a number, apart from NaN and infinity.
 _FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _STEP = re.compile(r"\[(\d+)\]$")
+#: Dotted parts up to which a path is expanded to all it may mean; longer ones are walked.
+EXPANDED = 4
 
 
 def _quoted(name: str) -> str:
@@ -49,8 +53,19 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _walked(data_json: Column, path: str, kinds: tuple[str, ...]) -> Column:
+    """The text of the scalar at a dotted path, by a walk over the parsed values; for paths of many parts."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: next((text for at, kind, text, _ in leaves(parse(t), "") if at == path and kind in kinds), None) if t else None)
+
+    return F.pandas_udf(run, "string")(data_json)
+
+
 def path_text(data_json: Column, path: str) -> Column:
     """The indexed string at a path below the data: of strings and booleans only, else null."""
+    if path.count(".") >= EXPANDED:
+        return _walked(data_json, path, ("string", "bool"))
     v = variant(data_json)
     found = []
     for p in json_paths(path):
@@ -61,6 +76,8 @@ def path_text(data_json: Column, path: str) -> Column:
 
 def path_number(data_json: Column, path: str) -> Column:
     """The indexed number at a path below the data: of JSON numbers only, else null."""
+    if path.count(".") >= EXPANDED:
+        return _walked(data_json, path, ("number",)).try_cast("double")
     v = variant(data_json)
     found = []
     for p in json_paths(path):

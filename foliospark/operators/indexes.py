@@ -9,32 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.fields import searchable_tokens
-from foliospark.functions.json_tree import _Number, _Object, parse
+from foliospark.functions.json_tree import leaves, parse
 from foliospark.functions.text import tag_keys
 
 FLAT = "id string, path string, kind string, text string, number double"
 _FLAT_ARROW = pa.schema([("id", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("number", pa.float64())])
 
 
-def leaves(value, path: str) -> Iterator[tuple[str, str, str | None, float | None]]:
-    """(path, kind, text, number) of every scalar below a parsed value, in order, with a stack of its own."""
-    stack = [(path, value)]
-    while stack:
-        at, node = stack.pop()
-        if isinstance(node, _Object):
-            stack.extend((f"{at}.{k}" if at else k, v) for k, v in reversed(node))
-        elif isinstance(node, list):
-            stack.extend((f"{at}[{i}]", v) for i, v in reversed(list(enumerate(node))))
-        elif isinstance(node, _Number):
-            yield at, "number", str(node), float(node)
-        elif isinstance(node, bool):
-            yield at, "bool", "true" if node else "false", None
-        elif node is None:
-            yield at, "null", None, None
-        else:
-            yield at, "string", node, None
-
-
 def flatten_fields(docs: DataFrame, prefix: str = "data") -> DataFrame:
     """``id, path, kind, text, number``: every scalar of ``data_json`` with its dotted path.
 

@@ -57,11 +57,6 @@ def all_docs_alive(spark: SparkSession, sf: str) -> DataFrame:
     return search.all_docs(docs_view(spark, sf), 0, 200, include_deleted=False).select("id", "rev")
 
 
-@query(_DOCS + "SELECT id, rev FROM docs " + _ID_PAGE.format(limit=1000, skip=0))
-def all_docs_clamped(spark: SparkSession, sf: str) -> DataFrame:
-    return search.all_docs(docs_view(spark, sf), -5, 5000).select("id", "rev")
-
-
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "wal_records")
     op = F.lower(F.trim("op"))
@@ -284,11 +279,6 @@ def shard_stats_compat(spark: SparkSession, sf: str) -> DataFrame:
     return stats.merge_shard_stats(stats.shard_stats(docs).withColumn("seq", F.lit(0))).select("docs_total", "docs_alive", "full_text_tokens")
 
 
-@query()
-def route_crc32(spark: SparkSession, sf: str) -> DataFrame:
-    return routing.with_shard(docs_view(spark, sf).select("id"), 3, algorithm="crc32")
-
-
 @query("""
 WITH d AS (SELECT DISTINCT id, sha256(id) AS h FROM document_store),
 u AS (SELECT id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) AS v FROM d)
@@ -298,14 +288,9 @@ def route_sha256(spark: SparkSession, sf: str) -> DataFrame:
     return routing.with_shard(docs_view(spark, sf).select("id"), 3, algorithm="sha256")
 
 
-@query()
-def route_murmur3(spark: SparkSession, sf: str) -> DataFrame:
-    return routing.with_shard(docs_view(spark, sf).select("id"), 3)
-
-
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(lower(text), '[^\x{0}-\x{FFFF}]', ' ', 'g'), '[\p{L}\p{Nd}]{2,}')) AS INTEGER) AS n_tokens FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(lower(text), '[^\x{0}-\x{FFFF}]', ' ', 'g'), '[\p{L}\p{Nd}]{2,}'), ' ') AS tokens FROM documents WHERE text IS NOT NULL")
 def tokenise(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("SELECT db, shard, coalesce(max(seq), 0) AS seq FROM wal_records GROUP BY db, shard")
@@ -344,9 +329,12 @@ def delete_tombstones(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "deleted", revlog.rev_number(F.col("rev")).alias("rev_number"))
 
 
-@query(_DOCS + "SELECT id, CAST(coalesce(len(tags), -1) AS INTEGER) AS tags_count, CAST(length(content) AS INTEGER) AS content_len, CASE WHEN json_type(j, '$.category') IS NOT NULL THEN j ->> '$.category' END AS category FROM docs")
+_NEWS = ("link", "headline", "category", "short_description", "authors", "date")
+
+
+@query(_DOCS + "SELECT id, CAST(coalesce(len(tags), -1) AS INTEGER) AS tags_count, CAST(length(content) AS INTEGER) AS content_len, " + ", ".join(f"CASE WHEN json_type(j, '$.{c}') IS NOT NULL THEN j ->> '$.{c}' END AS {c}" for c in _NEWS) + " FROM docs")
 def news_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return files.news_projection(docs_view(spark, sf)).select("id", "tags_count", "content_len", "category")
+    return files.news_projection(docs_view(spark, sf)).select("id", "tags_count", "content_len", *_NEWS)
 
 
 @query("SELECT event_type, avg(value) AS value_mean, stddev_pop(value) AS value_std FROM events GROUP BY event_type")
@@ -380,13 +368,15 @@ def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select("token", "block", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
 
 
-@query(_DOCS + "SELECT id, coalesce(CAST(length(content) AS INTEGER), 0) AS content_len, deleted FROM docs")
+@query(_DOCS + "SELECT id, coalesce(rev, '') AS rev, deleted, nullif(content, '') AS content, CASE WHEN len(tags) > 0 THEN array_to_string(list_transform(tags, lambda t: coalesce(t, '')), '|') END AS tags, j ->> '$.type' AS type, j ->> '$.profile.city' AS city, j ->> '$.rating' AS rating FROM docs")
 def binary_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to their binary form and back."""
-    return codecs.from_binary(codecs.to_binary(docs_view(spark, sf))).select("id", F.coalesce(F.length("content"), F.lit(0)).alias("content_len"), "deleted")
+    back = codecs.from_binary(codecs.to_binary(docs_view(spark, sf)))
+    data = [F.get_json_object("data_json", f"$.{p}").alias(n) for n, p in (("type", "type"), ("city", "profile.city"), ("rating", "rating"))]
+    return back.select("id", F.coalesce("rev", F.lit("")).alias("rev"), "deleted", "content", F.array_join("tags", "|").alias("tags"), *data)
 
 
-@query("SELECT doc_id, length(text) AS n, true AS is_gzip FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, text, true AS is_gzip FROM documents WHERE text IS NOT NULL")
 def gzip_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     packed = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", codecs.gzip_bytes(F.col("text")).alias("z"))
-    return packed.select("doc_id", F.length(codecs.gunzip_bytes(F.col("z")).cast("string")).cast("long").alias("n"), codecs.is_gzip(F.col("z")).alias("is_gzip"))
+    return packed.select("doc_id", codecs.gunzip_bytes(F.col("z")).cast("string").alias("text"), codecs.is_gzip(F.col("z")).alias("is_gzip"))

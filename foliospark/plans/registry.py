@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from foliospark.plans import problems, reference
+from foliospark.plans import operations, problems, reference
 
-_MODULES = (reference, problems)
+_MODULES = (reference, operations, problems)
 
 
 def queries() -> dict[str, Callable]:

@@ -13,8 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _staged: list[str] = []
 
 
+def attach(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: workers then find it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_foliospark_sent", False):
+        return
+    context._foliospark_sent = True
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(context._temp_dir, "foliospark")
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a folder."""
+    attach(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -23,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset (a local session, as in tests) a temporary folder is made once and set.
     """
+    attach(spark)
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known

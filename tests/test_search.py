@@ -100,3 +100,11 @@ def test_random_documents_against_a_plain_model(spark):
     assert found(search.find_by_tags(docs, None, ["red", "blue"], limit=1000)) == [r[0] for r in live if key_set(r[4]) & {"RED", "BLUE"}]
     for q in ({"alpha"}, {"alpha", "beta"}, {"red", "gamma"}):
         assert found(search.full_text_search(docs, " ".join(q), limit=1000)) == [r[0] for r in live if q <= token_set(r)]
+
+
+def test_paths_of_many_parts(spark):
+    from foliospark.functions import fields
+
+    rows = spark.createDataFrame([('{"a":{"b.c":{"d":[{"e":{"f":{"g":"x"}}}]}},"n":{"n":{"n":{"n":{"n":{"n":7.5}}}}}}',), ('{"a":1}',), ("{",), (None,)], "j string")
+    got = rows.select(fields.path_text(F.col("j"), "a.b.c.d[0].e.f.g").alias("t"), fields.path_number(F.col("j"), "n.n.n.n.n.n").alias("n")).collect()
+    assert [tuple(r) for r in got] == [("x", 7.5)] + [(None, None)] * 3

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions import codecs, fields
+from foliospark.functions import codecs, fields, proto
 from foliospark.functions.text import tokens
 from foliospark.operators import indexes, revlog, routing, search, sets, stats
 from foliospark.plans.kept import kept_index
 from foliospark.sources import files
 from foliospark.sources.numbering import numbered
 from foliospark.sources.schema import docs_view
-from foliospark.sources.tables import table
+from foliospark.sources.tables import keep_for_release, shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -376,6 +378,15 @@ def binary_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("id", F.coalesce("rev", F.lit("")).alias("rev"), "deleted", "content", F.array_join("tags", "|").alias("tags"), *data)
 
 
+@query(_DOCS + "SELECT id, nullif(rev, '') AS rev, deleted, nullif(content, '') AS content, CASE WHEN len(tags) > 0 THEN array_to_string(list_transform(tags, lambda t: coalesce(t, '')), '|') END AS tags, j ->> '$.type' AS type, j ->> '$.profile.city' AS city FROM docs")
+def proto_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents to messages in a folder of binary rows and back."""
+    folder = keep_for_release(f"{shared_dir(spark)}/foliospark/messages-{uuid.uuid4().hex}")
+    proto.to_proto(docs_view(spark, sf)).write.parquet(folder)
+    data = [F.get_json_object("data_json", f"$.{p}").alias(n) for n, p in (("type", "type"), ("city", "profile.city"))]
+    return proto.from_proto(spark.read.parquet(folder)).select("id", "rev", "deleted", "content", F.array_join("tags", "|").alias("tags"), *data)
+
+
 @query("SELECT doc_id, text, true AS is_gzip FROM documents WHERE text IS NOT NULL")
 def gzip_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     packed = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", codecs.gzip_bytes(F.col("text")).alias("z"))

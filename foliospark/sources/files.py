@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from dataclasses import dataclass
+from typing import Literal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions import codecs, proto
 from foliospark.functions.json_tree import _Number, _Object, parse
 from foliospark.sources.numbering import numbered
 from foliospark.sources.schema import NEWS, WAL
@@ -59,9 +62,32 @@ def load_json(spark: SparkSession, path: str, max_docs: int | None = None) -> tu
         F.concat(F.lit("ds-"), F.lpad(F.col("_i").cast("string"), 6, "0")).alias("id"), F.lit(None).cast("string").alias("rev"), F.lit(False).alias("deleted"),
         data.alias("data_json"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("content"),
     )
-    file = spark.read.format("binaryFile").load(path).select("length", F.upper(F.sha2("content", 256)).alias("sha")).agg(F.sum("length").alias("n"), F.max("sha").alias("sha")).first()
+    size, digest = _digest(spark, path)
     n, bad = docs.count(), records.where(~F.col("_ok")).count()
-    return docs, LoadStats(path, file.n or 0, file.sha or "", n, bad, max_docs is not None and n >= max_docs)
+    return docs, LoadStats(path, size, digest, n, bad, max_docs is not None and n >= max_docs)
+
+
+#: Bytes of a file up to which its digest is computed by a task of its own; larger ones pass through the driver.
+DIGESTED = 1 << 30
+
+
+def _digest(spark: SparkSession, path: str) -> tuple[int, str]:
+    """(size, SHA-256 in upper case) of a file; of several, the digest of their digests in the order of their names."""
+    fs, at = _fs(spark, path), _path(spark, path)
+    found = [s for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    sums = {}
+    if small := [s.getPath().toString() for s in found if s.getLen() <= DIGESTED]:
+        rows = spark.read.format("binaryFile").load(small).select(F.col("_metadata.file_name").alias("name"), F.upper(F.sha2("content", 256)).alias("sha"))
+        sums = {r.name: r.sha for r in rows.collect()}
+    for s in found:
+        if s.getLen() > DIGESTED:
+            own, stream = hashlib.sha256(), fs.open(s.getPath())
+            while piece := bytes(stream.readNBytes(1 << 20)):
+                own.update(piece)
+            stream.close()
+            sums[s.getPath().getName()] = own.hexdigest().upper()
+    digests = [sums[n] for n in sorted(sums)]
+    return sum(s.getLen() for s in found), digests[0] if len(digests) == 1 else hashlib.sha256("".join(digests).encode()).hexdigest().upper()
 
 
 def _without_nulls(value) -> str:
@@ -117,6 +143,17 @@ def news_projection(docs: DataFrame) -> DataFrame:
     return typed.select("id", "tags_count", "content_len", "_d.*")
 
 
+def read_binary_documents(spark: SparkSession, path: str, form: Literal["binary", "proto"] = "binary") -> DataFrame:
+    """Documents of files that hold one each, in the tagged binary form or as messages."""
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    return codecs.from_binary(raw, "content") if form == "binary" else proto.from_proto(raw, "content")
+
+
+def write_binary_documents(docs: DataFrame, folder: str, form: Literal["binary", "proto"] = "binary") -> None:
+    """Documents as rows ``id, binary`` of Parquet files: files of their own for each would not scale."""
+    (codecs.to_binary(docs) if form == "binary" else proto.to_proto(docs, "binary")).write.mode("overwrite").parquet(folder)
+
+
 def write_columnar(docs: DataFrame, folder: str) -> None:
     """The columnar form as Parquet and as ORC, replacing what is there."""
     projected = news_projection(docs)

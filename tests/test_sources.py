@@ -8,7 +8,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import codecs
+from foliospark.functions import codecs, proto
 from foliospark.sources import files, rest
 from foliospark.sources.numbering import numbered
 
@@ -172,6 +172,34 @@ def test_binary_form(spark, docs):
     assert {r.id for r in codecs.from_binary(codecs.to_binary(docs)).collect()} == set("abcdef")
 
 
+def test_messages(spark, docs, tmp_path):
+    assert proto.encode({"id": "a", "deleted": True, "tags": ["t", ""], "content": "é"}) == b"\x0a\x01a\x18\x01\x2a\x01t\x2a\x00\x32\x02\xc3\xa9"
+    assert proto.encode({"id": "a", "data": {"k": 1.5}}) == b"\x0a\x01a\x22\x10\x0a\x0e\x0a\x01k\x12\x09\x11" + b"\x00\x00\x00\x00\x00\x00\xf8\x3f"
+    doc = {"id": "x" * 300, "rev": "1-a", "deleted": False, "data": {"a": [1, "t", True, None, {"k": {"z": -2.5}}], "": {}, "big": 2**60}, "tags": ["a", "б"], "content": "text"}
+    assert proto.decode(proto.encode(doc)) == doc | {"data": doc["data"] | {"big": float(2**60)}}
+    assert proto.decode(b"\x0a\x01y\x7a\x02zz\x68\x05")["id"] == "y"
+    for broken in (b"\x0a\x09abc", b"\x0a", b"\x0b"):
+        with pytest.raises(ValueError):
+            proto.decode(broken)
+    assert {r.id for r in proto.from_proto(proto.to_proto(docs)).collect()} == set("abcdef")
+    for n, form in enumerate((codecs.encode, proto.encode)):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "one.bin").write_bytes(form({"id": "one", "content": "c"}))
+        row = files.read_binary_documents(spark, str(tmp_path / str(n)), ("binary", "proto")[n]).first()
+        assert (row.id, row.content, row.data_json) == ("one", "c", None)
+    files.write_binary_documents(docs, str(tmp_path / "out"), "proto")
+    assert proto.from_proto(spark.read.parquet(str(tmp_path / "out")), "binary").count() == 6
+
+
+def test_digests(spark, tmp_path, monkeypatch):
+    for name, text in (("a", b"one"), ("b", b"two" * 10)):
+        (tmp_path / name).write_bytes(text)
+    whole = files._digest(spark, str(tmp_path))
+    monkeypatch.setattr(files, "DIGESTED", 5)
+    assert files._digest(spark, str(tmp_path)) == whole and whole[0] == 33
+    assert files._digest(spark, str(tmp_path / "b")) == (30, hashlib.sha256(b"two" * 10).hexdigest().upper())
+
+
 def test_gzip(spark):
     rows = spark.createDataFrame([("x" * 5000,), ("",), (None,)], "t string")
     z = rows.select("t", codecs.gzip_bytes(F.col("t")).alias("z")).collect()

@@ -18,25 +18,46 @@ from pyspark.sql import functions as F
 from foliospark.functions import fields
 from foliospark.functions.text import tag_key, tag_keys, tokens
 from foliospark.operators import indexes, search
-from foliospark.sources.files import _exists
+from foliospark.sources.files import _exists, _fs, _path
 from foliospark.sources.numbering import numbered
 from foliospark.sources.schema import DOC_COLUMNS, DOCUMENT
 from foliospark.sources.state import StateStore
 from foliospark.sources.tables import stage
 
-#: Folders that the entries of each kind are written to, by a hash of the key.
-BUCKETS = 64
+#: Folders that the entries of each kind are written to, by a hash of the key: as many as are still listed by the driver
+#: alone. A large collection wants more.
+BUCKETS = 32
 _DOC = "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in DOCUMENT) + ">"
 _SCHEMA = f"key string, value double, id string, doc_num long, gen int, doc {_DOC}, kind string, bucket int"
 _CUT = "\x1f"
 
 
+_listed: dict[str, set[int]] = {}
+
+
+def _buckets(spark: SparkSession, folder: str) -> set[int]:
+    """The buckets that a part has of a kind; parts never change, so they are listed once."""
+    if folder not in _listed:
+        names = [s.getPath().getName() for s in _fs(spark, folder).listStatus(_path(spark, folder))] if _exists(spark, folder) else []
+        _listed[folder] = {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+    return _listed[folder]
+
+
 class DocumentIndex:
     """The index in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.store = spark, StateStore(spark, folder)
-        self.buckets = self.store.manifest()["meta"].get("buckets", buckets)
+        self.spark, self.store, self.buckets = spark, StateStore(spark, folder), buckets
+        self.refresh()
+
+    def refresh(self) -> None:
+        """See the version now in force; until then an object keeps to the one it was made with."""
+        self.version = self.store.version()
+        manifest = self.store.manifest(self.version)
+        self.parts, self.buckets = manifest["parts"], manifest["meta"].get("buckets", self.buckets)
+
+    def _folders(self, kind: str) -> int:
+        return max(1, self.buckets // 4) if kind == "doc" else self.buckets
 
     # writing
 
@@ -51,11 +72,11 @@ class DocumentIndex:
         both = stage(changed.join(known.hint("merge"), "id", "left"), "changed")
         last = known.agg(F.coalesce(F.max("_known"), F.lit(0))).first()[0]
         fresh = numbered(both.where(F.col("_known").isNull()).drop("_known"), ["id"], "doc_num", last + 1)
-        self._write(fresh.unionByName(both.where(F.col("_known").isNotNull()).withColumnRenamed("_known", "doc_num")), self.store.version() + 1, replace=False)
+        self._write(fresh.unionByName(both.where(F.col("_known").isNotNull()).withColumnRenamed("_known", "doc_num")), self.version + 1, replace=False)
 
     def compact(self) -> None:
         """Make one part of all."""
-        self._write(stage(self.documents(deleted=True), "documents"), self.store.version() + 1, replace=True)
+        self._write(stage(self.documents(deleted=True), "documents"), self.version + 1, replace=True)
 
     def _write(self, docs: DataFrame, gen: int, replace: bool) -> None:
         docs = docs.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
@@ -74,25 +95,28 @@ class DocumentIndex:
             entries(num, "num", F.col("field"), F.col("value")),
             entries(docs, "doc", F.col("id"), doc=F.struct(*DOC_COLUMNS)),
         ]
-        placed = reduce(DataFrame.unionByName, rows).withColumn("bucket", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(self.buckets)).cast("int"))
+        folders = F.when(F.col("kind") == "doc", self._folders("doc")).otherwise(self.buckets)
+        placed = reduce(DataFrame.unionByName, rows).withColumn("bucket", F.pmod(F.crc32(F.col("key").cast("binary")), folders).cast("int"))
         placed = placed.hint("rebalance", "kind", "bucket").sortWithinPartitions("kind", "bucket", "key", "id")
-        version = self.store.version()
         write = self.store.replace if replace else self.store.add
-        write(placed, version, {"buckets": self.buckets}, ["kind", "bucket"])
+        write(placed, self.version, {"buckets": self.buckets}, ["kind", "bucket"])
+        self.refresh()
 
     # reading
 
     def _entries(self, kind: str, keys: Sequence[str] | None, parts: Sequence[str] | None = None) -> DataFrame:
         """The entries of some keys: only the folders of their buckets are listed and read."""
-        parts = self.store.manifest()["parts"] if parts is None else parts
+        parts = self.parts if parts is None else parts
         rows = None
         for part in parts:
             root = f"{self.store.folder}/{part}"
             if keys is None:
                 places = [f"{root}/kind={kind}"]
             else:
-                places = [f"{root}/kind={kind}/bucket={b}" for b in sorted({zlib.crc32(k.encode()) % self.buckets for k in keys})]
-            places = [p for p in places if _exists(self.spark, p)]
+                wanted = sorted({zlib.crc32(k.encode()) % self._folders(kind) for k in keys})
+                there = _buckets(self.spark, f"{root}/kind={kind}") if wanted else set()
+                places = [f"{root}/kind={kind}/bucket={b}" for b in wanted if b in there]
+            places = places if keys is not None or _exists(self.spark, places[0]) else []
             if places:
                 own = self.spark.read.schema(_SCHEMA).option("basePath", root).parquet(*places)
                 rows = own if rows is None else rows.unionByName(own)
@@ -102,7 +126,7 @@ class DocumentIndex:
 
     def _valid(self, hits: DataFrame) -> DataFrame:
         """Hits (with ``id, gen``) whose document no later part holds. With one part there is nothing to compare."""
-        later = self.store.manifest()["parts"][1:]
+        later = self.parts[1:]
         if not later:
             return hits
         newest = self._entries("doc", None, later).groupBy(F.col("id").alias("_id")).agg(F.max("gen").alias("_gen"))
@@ -114,14 +138,13 @@ class DocumentIndex:
         rows = rows.select("doc.*", "doc_num", "gen")
         return rows if deleted else rows.where(~F.col("deleted"))
 
-    def fetch(self, page: DataFrame) -> DataFrame:
-        """The documents of a page of at most 1000 hits, in its order."""
+    def fetch(self, page: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
+        """The documents of a page of at most 1000 hits, in an order by ``id`` or ``doc_num``."""
         ids = [r.id for r in page.select("id").limit(search.MAX_LIMIT).collect()]
         if not ids:
             return self._entries("doc", []).select("doc.*")
-        place = self.spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, _place int")
-        rows = self._valid(self._entries("doc", ids).select("id", "gen", "doc"))
-        return rows.join(F.broadcast(place), "id").orderBy("_place").select("doc.*")
+        rows = self._valid(self._entries("doc", ids).select("id", "doc_num", "gen", "doc"))
+        return rows.orderBy(*order).limit(len(ids)).select("doc.*")
 
     def postings(self, token: str) -> DataFrame:
         """``id, doc_num`` of the live documents with a token."""
@@ -174,13 +197,13 @@ class DocumentIndex:
         looked, scanned = [], []
         for name, value in (equals or {}).items():
             key = f"{name}{_CUT}{value}"
-            if self._all_of("eq", [key]).limit(1).count():
+            if self._all_of("eq", [key]).take(1):
                 looked.append(self._entries("eq", [key]).select("id", "gen", F.lit(len(looked)).alias("_c")))
             else:
                 scanned.append(search.equality(name, value)[1])
         if numeric is not None:
             name, low, high = numeric
-            if self._all_of("num", [name]).limit(1).count():
+            if self._all_of("num", [name]).take(1):
                 looked.append(self._entries("num", [name]).where(search._between(F.col("value"), low, high)).select("id", "gen", F.lit(len(looked)).alias("_c")))
             else:
                 scanned.append(search._between(fields.top_number(F.col("data_json"), name), low, high))

@@ -206,7 +206,7 @@ def fts_data_and_tags(spark: SparkSession, sf: str) -> DataFrame:
 @query(_fts("['the', 'beside']", 100, "md5(id), id"))
 def fts_compact_order(spark: SparkSession, sf: str) -> DataFrame:
     index = kept_index(spark, sf)
-    return index.fetch(index.full_text("the beside", order=("doc_num",))).select("id", "rev")
+    return index.fetch(index.full_text("the beside", order=("doc_num",)), ("doc_num",)).select("id", "rev")
 
 
 @query(_DOCS + _LEAVES + "SELECT token, count(*) AS df FROM (SELECT unnest(w) AS token FROM tok WHERE NOT deleted) GROUP BY token")

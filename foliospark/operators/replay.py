@@ -20,7 +20,7 @@ from foliospark.sources.tables import keep_for_release, shared_dir, stage
 
 LOG = ["db", "shard"]
 #: Sequence numbers in one block of the search for gaps.
-BLOCK = 65_536
+BLOCK = 16_384
 
 
 def _op() -> Column:
@@ -54,47 +54,39 @@ def apply(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return best.select(*LOG, "id", "_b.seq", "_b.rev", "_b.ts", "_b.is_del", "_b.alive")
 
 
-def watermarks(log: DataFrame) -> DataFrame:
-    """For each log ``first_seq, last_seq, watermark, held``: the contiguous watermark and the numbers beyond it.
+def _blocks(log: DataFrame) -> DataFrame:
+    """``db, shard, block`` with the lowest and highest number, how many there are, and how far they reach.
 
-    Any line fills its place. Gaps are sought in blocks of numbers: full blocks are counted, and only the first one that
-    isn't full is looked at number by number, so no task sees a whole log.
+    Any line fills its place. ``reached`` is the last number of a block up to which its log has no gap, null beyond the
+    first gap. The numbers of a block are a bounded set; only blocks, not numbers, are looked at log by log.
     """
-    seqs = log.where(F.col("seq").isNotNull()).select(*LOG, "seq").distinct()
-    block = F.floor(F.col("seq") / BLOCK)
-    blocks = seqs.groupBy(*LOG, block.alias("_b")).agg(F.count("*").alias("_n"), F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
-    in_order = Window.partitionBy(*LOG).orderBy("_b")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    # A block is whole if its numbers have no gap and it joins the one before.
-    inner = (F.col("_n") == F.col("_hi") - F.col("_lo") + 1) & (F.coalesce(F.lag("_hi").over(in_order), F.col("_lo") - 1) + 1 == F.col("_lo"))
-    marked = blocks.withColumn("_whole", inner).withColumn("_ok", F.coalesce(F.min("_whole").over(before), F.lit(True)))
-    logs = marked.groupBy(*LOG).agg(
-        F.min("_lo").alias("first_seq"), F.max("_hi").alias("last_seq"), F.sum("_n").alias("_all"),
-        F.max(F.when(F.col("_ok") & F.col("_whole"), F.col("_hi"))).alias("_sure"),
-        F.max(F.when(F.col("_ok") & ~F.col("_whole"), F.col("_b"))).alias("_open"),
-    )
-    within = Window.partitionBy(*LOG).orderBy("seq")
-    s, g = seqs.withColumn("_b", block).alias("s"), logs.where(F.col("_open").isNotNull()).select(*LOG, "_open", F.coalesce("_sure", F.col("first_seq") - 1).alias("_from")).alias("g")
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in LOG]
-    tail = s.join(g, [*same, F.col("s._b") == F.col("g._open")]).select(*(F.col(f"s.{c}").alias(c) for c in LOG), "seq", "_from")
-    run = tail.withColumn("_r", F.row_number().over(within)).where(F.col("seq") == F.col("_from") + F.col("_r")).groupBy(*LOG).agg(F.max("seq").alias("_reached"))
-    a, r = logs.alias("a"), run.alias("r")
-    joined = a.join(r, [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) for c in LOG], "left")
-    mark = F.coalesce("_reached", "_sure", F.col("first_seq") - 1)
-    return joined.select(*(F.col(f"a.{c}").alias(c) for c in LOG), "first_seq", "last_seq", mark.alias("watermark"), (F.col("_all") - (mark - F.col("first_seq") + 1)).alias("held"))
-
-
-def ready(changes: DataFrame, marks: DataFrame) -> DataFrame:
+    rows = log.where(F.col("seq").isNotNull()).select(*LOG, F.floor(F.col("seq") / BLOCK).alias("block"), "seq")
+    own = rows.groupBy(*LOG, "block").agg(F.array_sort(F.collect_set("seq")).alias("_a"))
+    lo = F.col("_a")[0]
+    run = F.size(F.filter("_a", lambda x, i: x - i == lo))
+    own = own.select(*LOG, "block", lo.alias("lo"), F.element_at("_a", -1).alias("hi"), F.size("_a").cast("long").alias("n"), (lo + run - 1).alias("_run"))
+    in_order = Window.partitionBy(*LOG).orderBy("block")
+    joins = F.coalesce(F.lag("hi").over(in_order), F.col("lo") - 1) + 1 == F.col("lo")
+    own = own.withColumn("_joins", joins).withColumn("_whole", F.col("_joins") & (F.col("_run") == F.col("hi")))
+    before = F.coalesce(F.min("_whole").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return own.select(*LOG, "block", "lo", "hi", "n", F.when(before & F.col("_joins"), F.col("_run")).alias("reached"))
+
+
+def watermarks(log: DataFrame) -> DataFrame:
+    """For each log ``first_seq, last_seq, watermark, held``: the contiguous watermark and the numbers beyond it."""
+    logs = _blocks(log).groupBy(*LOG).agg(F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"), F.max("reached").alias("watermark"), F.sum("n").alias("_n"))
+    return logs.select(*LOG, "first_seq", "last_seq", "watermark", (F.col("_n") - (F.col("watermark") - F.col("first_seq") + 1)).alias("held"))
+
+
+def ready(changes: DataFrame) -> DataFrame:
     """``changes`` with ``ready``: whether the transaction is within its log's contiguous watermark.
 
     Changes meet the watermark by log and block of numbers, so no log goes through one task.
     """
-    block = F.floor(F.col("seq") / BLOCK)
-    blocks = changes.select(*LOG, block.alias("_block")).distinct().alias("k")
-    m = marks.select(*LOG, "watermark").alias("m")
-    limits = blocks.join(m, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in LOG]).select(*(F.col(f"k.{c}").alias(f"_{c}") for c in LOG), "_block", "watermark")
-    joined = changes.withColumn("_b", block).join(limits, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG), F.col("_b") == F.col("_block")])
-    return joined.select(*changes.columns, (F.col("seq") <= F.col("watermark")).alias("ready"))
+    mark = F.max("reached").over(Window.partitionBy(*LOG))
+    limits = _blocks(changes).select(*(F.col(c).alias(f"_{c}") for c in LOG), F.col("block").alias("_block"), mark.alias("_mark"))
+    here = F.floor(F.col("seq") / BLOCK) == F.col("_block")
+    return changes.join(limits, [*(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG), here]).select(*changes.columns, (F.col("seq") <= F.col("_mark")).alias("ready"))
 
 
 def replay(log: DataFrame, closed: bool = True, store: StateStore | None = None) -> DataFrame:
@@ -107,7 +99,7 @@ def replay(log: DataFrame, closed: bool = True, store: StateStore | None = None)
     spark = log.sparkSession
     store = store or StateStore(spark, keep_for_release(f"{shared_dir(spark)}/foliospark/replay-{uuid.uuid4().hex}"))
     assembled = stage(transactions(log), "transactions")
-    changes = stage(ready(assembled, watermarks(assembled)), "changes")
+    changes = stage(ready(assembled), "changes")
     store.add(apply(changes.where("ready")), 0, {"commit": "watermark"})
     if closed:
         store.replace(apply(changes.where(~F.col("ready")), store.read()), 1, {"commit": "end of log"})

@@ -133,6 +133,8 @@ def test_replay_against_a_plain_fold(spark):
     got = {(r.db, r.id, r.seq, r.rev) for r in replay.replay(lines(spark, rows + rows[::3])).collect()}
     assert got == brute_state(rows)
     assert replay.replay(lines(spark, [])).count() == 0
+    odd = lines(spark, rows[:200]).withColumns({"ready": F.lit("x"), "block": F.lit(9), "alive": F.lit(0), "hi": F.lit(1)})
+    assert {(r.db, r.id, r.seq, r.rev) for r in replay.replay(odd).collect()} == brute_state(rows[:200])
 
 
 def test_watermarks(spark):
@@ -203,6 +205,8 @@ def test_runs_against_a_plain_history(spark):
         got = {(r.run_id, r.db, r.seq) for r in incremental.run_history(lines(spark, rows), table).collect()}
         assert got == brute_runs(rows, runs)
     assert incremental.run_history(lines(spark, []), table).count() == 0
+    odd = lines(spark, rows[:50]).withColumns({"run_id": F.lit("x"), "round": F.lit(9), "_hash": F.lit(0), "status": F.lit("ok")})
+    assert {(r.run_id, r.db, r.seq) for r in incremental.run_history(odd, table.limit(0)).collect()} == {(0, db, seq) for db, _, _, _, seq, *_ in rows[:50]}
 
 
 def test_a_history_survives_failures(spark, tmp_path):

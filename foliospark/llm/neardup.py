@@ -114,20 +114,20 @@ def least_matches(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> i
 
 
 def word_sets(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``tab, id, h, words``: the distinct words of each text, sorted, and a hash of 128 bits of them."""
+    """``tab, id, h, words``: the distinct words of each text, sorted, and a hash of 128 bits of table and words."""
     rows = texts.select("tab", "id", F.array_sort(F.array_distinct(words(F.col("text")))).alias("words")).where(F.col("id").isNotNull() & (F.size("words") >= least))
-    return rows.select("tab", "id", F.unhex(F.md5(F.array_join("words", " "))).alias("h"), "words")
+    return rows.select("tab", "id", F.unhex(F.md5(F.concat(F.coalesce("tab", F.lit("\x00")), F.lit("\x1f"), F.array_join("words", " ")))).alias("h"), "words")
 
 
 def classes(texts: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, classes), both staged: ``tab, id, cid``, and ``cid, tab, words`` with the signature of each class.
 
-    Texts of a table with the same words are one class. Numbers of classes are unique and fixed by staging.
+    Texts of a table with the same words are one class; texts without a table are a table of their own. Numbers of classes are unique and fixed by staging.
     """
     sets = stage(word_sets(texts, least), "sets")
-    reps = sets.groupBy("tab", "h").agg(F.first("words").alias("words")).select(F.monotonically_increasing_id().alias("cid"), "tab", "h", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    reps = sets.groupBy("h").agg(F.first("tab").alias("tab"), F.first("words").alias("words")).select(F.monotonically_increasing_id().alias("cid"), "tab", "h", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     signed = stage(reps.mapInArrow(_sign, "cid long, tab string, h binary, words array<string>, " + ", ".join(f"{n} long" for n in _NAMES)), "classes")
-    member = sets.select("tab", "id", "h").distinct().join(signed.select("tab", "h", "cid").hint("merge"), ["tab", "h"])
+    member = sets.select("tab", "id", "h").distinct().join(signed.select("h", "cid").hint("merge"), "h")
     return stage(member.select("tab", "id", "cid"), "members"), signed.drop("h")
 
 

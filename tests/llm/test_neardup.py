@@ -46,6 +46,14 @@ def test_pairs_against_brute_force(spark, texts):
     assert neardup.similar_pairs(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_texts_without_a_table_and_ties(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, "a", text), (None, "b", text + " x1 x2"), ("t", "a", text), ("t", "a", text), ("t", "a", text + " more"), ("t", None, text), (None, "c", text[::-1])]
+    assert {tuple(r) for r in neardup.similar_pairs(frame(spark, rows)).collect()} == {(None, "a", "b")}
+    got = sorted((str(r.tab), r.id, r.class_id, r.links, r.group_id) for r in neardup.groups(frame(spark, rows)).collect())
+    assert got == [("None", "a", "a", 1, "a"), ("None", "b", "b", 1, "a"), ("None", "c", "c", 0, "c"), ("t", "a", "a", 1, "a"), ("t", "a", "a", 1, "a")]
+
+
 def test_groups_hold_every_link(spark, texts):
     rows = {(r.tab, r.id): r for r in neardup.groups(frame(spark, texts)).collect()}
     pairs = {tuple(r) for r in neardup.similar_pairs(frame(spark, texts)).collect()}

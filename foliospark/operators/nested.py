@@ -22,8 +22,9 @@ from foliospark.sources.tables import keep_for_release, shared_dir
 ROOT = "$"
 SCHEMA = "tag string, id string, path string, parent_path string, owner string, is_element boolean, kind string, payload string"
 _ARROW = pa.schema([(n, pa.bool_() if n == "is_element" else pa.string()) for n in ("tag", "id", "path", "parent_path", "owner", "is_element", "kind", "payload")])
-#: Folders that tables are written to, by a hash of the tag: names of fields are data and may be any number.
-FOLDERS = 256
+#: Folders that tables are written to, by a hash of the tag: names of fields are data and may be any number. So many are
+#: still listed by the driver alone.
+FOLDERS = 32
 _BATCH = 20_000
 _PLACE = re.compile(r"\[\d+\]")
 

@@ -7,10 +7,9 @@ partitioned by table; each table's schema is applied when it is read.
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +25,15 @@ _ARROW = pa.schema([(n, pa.bool_() if n == "is_element" else pa.string()) for n
 #: still listed by the driver alone.
 FOLDERS = 32
 _BATCH = 20_000
-_PLACE = re.compile(r"\[\d+\]")
 
 
 def _plain(value) -> str:
-    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+    """The JSON of a scalar; numbers have kept their text."""
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, str):
+        return encode_basestring(value)
+    return "null" if value is None else "true" if value else "false"
 
 
 def visit(value, path: str = "data") -> Iterator[tuple[str, str, str, str, bool, str, str]]:
@@ -41,18 +44,18 @@ def visit(value, path: str = "data") -> Iterator[tuple[str, str, str, str, bool,
     table is the path without list places. The parent path is that of the nearest enclosing object that is itself a list
     element, the owner that of the nearest enclosing object of any kind; ``$`` if there is none.
     """
-    stack = [(value, path, ROOT, ROOT, False)]
+    stack = [(value, path, path, ROOT, ROOT, False)]
     while stack:
-        node, at, parent, owner, element = stack.pop()
+        node, table, at, parent, owner, element = stack.pop()
         if isinstance(node, _Object):
             inner = at if element else parent
-            scalars = ",".join(f"{json.dumps(k, ensure_ascii=False)}:{'[]' if isinstance(v, list) else _plain(v)}" for k, v in node if not isinstance(v, list) or not (v or isinstance(v, _Object)))
-            yield _PLACE.sub("[]", at), at, parent, owner, element, "object", "{" + scalars + "}"
-            stack.extend((v, f"{at}.{k}", inner, at, False) for k, v in reversed(node) if isinstance(v, list))
+            scalars = ",".join(f"{encode_basestring(k)}:{'[]' if isinstance(v, list) else _plain(v)}" for k, v in node if not isinstance(v, list) or not (v or isinstance(v, _Object)))
+            yield table, at, parent, owner, element, "object", "{" + scalars + "}"
+            stack.extend((v, f"{table}.{k}", f"{at}.{k}", inner, at, False) for k, v in reversed(node) if isinstance(v, list))
         elif isinstance(node, list):
-            stack.extend((v, f"{at}[{i}]", parent, owner, True) for i, v in reversed(list(enumerate(node))))
+            stack.extend((v, table + "[]", f"{at}[{i}]", parent, owner, True) for i, v in reversed(list(enumerate(node))))
         else:
-            yield _PLACE.sub("[]", at), at, parent, owner, element, "value", f'{{"value":{_plain(node)}}}'
+            yield table, at, parent, owner, element, "value", f'{{"value":{_plain(node)}}}'
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +71,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = parse(data)
             if value is not None or data is not None and data.strip() == "null":
                 rows.extend((tag, i, *row) for tag, *row in visit(value))
-            rows.extend(("tags", i, f"tags[{n}]", ROOT, ROOT, True, "value", json.dumps({"value": t}, ensure_ascii=False)) for n, t in enumerate(tags or ()) if t is not None)
+            rows.extend(("tags", i, f"tags[{n}]", ROOT, ROOT, True, "value", f'{{"value":{encode_basestring(t)}}}') for n, t in enumerate(tags or ()) if t is not None)
             if len(rows) >= _BATCH:
                 yield flush()
     if rows:

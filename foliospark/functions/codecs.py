@@ -17,7 +17,7 @@ _I, _D = struct.Struct("<i"), struct.Struct("<d")
 
 
 def _text(value: str) -> bytes:
-    raw = value.encode("utf-8")
+    raw = value.encode("utf-8", "replace")
     return _I.pack(len(raw)) + raw
 
 

@@ -4,7 +4,22 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+
+
+def texts(values: Iterable[str | None]) -> pa.Array:
+    """An Arrow array of strings; halves of surrogate pairs, which JSON's escapes can name, become those escapes again."""
+    values = list(values)
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([None if v is None else whole(v) for v in values], pa.string())
+
+
+def whole(text: str) -> str:
+    return text.encode("utf-8", "backslashreplace").decode()
 
 
 class _Object(list):

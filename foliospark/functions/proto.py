@@ -38,14 +38,14 @@ def _value(v) -> bytes:
     if isinstance(v, (int, float)):
         return _varint(NUMBER << 3 | FIXED64) + struct.pack("<d", v)
     if isinstance(v, str):
-        return _field(STRING, v.encode())
+        return _field(STRING, v.encode("utf-8", "replace"))
     if isinstance(v, dict):
         return _field(STRUCT, _struct(v))
     return _field(LIST, b"".join(_field(VALUES, _value(x)) for x in v))
 
 
 def _struct(d: dict) -> bytes:
-    return b"".join(_field(FIELDS, _field(KEY, k.encode()) + _field(VALUE, _value(v))) for k, v in d.items())
+    return b"".join(_field(FIELDS, _field(KEY, k.encode("utf-8", "replace")) + _field(VALUE, _value(v))) for k, v in d.items())
 
 
 def encode(doc: dict) -> bytes:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.fields import searchable_tokens
-from foliospark.functions.json_tree import leaves, parse
+from foliospark.functions.json_tree import leaves, parse, texts
 from foliospark.functions.text import tag_keys
 
 FLAT = "id string, path string, kind string, text string, number double"
@@ -27,7 +27,7 @@ def flatten_fields(docs: DataFrame, prefix: str = "data") -> DataFrame:
         for batch in batches:
             rows = [(i, *leaf) for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leaf in leaves(parse(d) if d else None, prefix) if d and leaf[0] != prefix]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FLAT_ARROW.types)], schema=_FLAT_ARROW)
+                yield pa.RecordBatch.from_arrays([texts(c) if t == pa.string() else pa.array(c, t) for c, t in zip(zip(*rows), _FLAT_ARROW.types)], schema=_FLAT_ARROW)
 
     return docs.select("id", "data_json").mapInArrow(run, FLAT)
 

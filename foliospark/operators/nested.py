@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.json_tree import _Number, _Object, parse
+from foliospark.functions.json_tree import _Number, _Object, parse, texts
 from foliospark.sources.tables import keep_for_release, shared_dir
 
 ROOT = "$"
@@ -62,7 +62,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+        made = pa.RecordBatch.from_arrays([texts(c) if t == pa.string() else pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
         rows.clear()
         return made
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import codecs, proto
-from foliospark.functions.json_tree import _Number, _Object, parse
+from foliospark.functions.json_tree import _Number, _Object, parse, whole
 from foliospark.sources.numbering import numbered
 from foliospark.sources.schema import NEWS, WAL
 
@@ -99,7 +99,7 @@ def _without_nulls(value) -> str:
 
 
 def _drop_nulls(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else _without_nulls(parse(t)))
+    return texts.map(lambda t: None if t is None else whole(_without_nulls(parse(t))))
 
 
 def drop_null_properties(data_json: Column) -> Column:

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import codecs, proto
 from foliospark.functions.json_tree import _deep, parse
-from foliospark.operators import incremental, nested, packed, replay
+from foliospark.operators import incremental, indexes, nested, packed, replay
+from foliospark.sources import files
 from foliospark.sources.state import StaleVersion, StateStore
 from foliospark.streaming import replay as streaming
 
@@ -56,6 +58,15 @@ def test_repeated_names_numbers_and_depth():
         assert _deep(text) == parse(text)
 
 
+def test_halves_of_surrogate_pairs(spark):
+    df = spark.createDataFrame([("a", '{"x":["\\ud800y",{"k\\udfff":"\\ud83d\\ude00"}]}', ["t"], False, None, "c")], "id string, data_json string, tags array<string>, deleted boolean, rev string, content string")
+    got = {r.path: r.payload for r in nested.relational(df).collect()}
+    assert got["data.x[0]"] == '{"value":"\\ud800y"}' and got["data.x[1]"] == '{"k\\udfff":"😀"}'
+    assert {r.text for r in indexes.flatten_fields(df).collect()} == {"\\ud800y", "😀"}
+    assert codecs.to_binary(df).count() == proto.to_proto(df).count() == 1
+    assert df.select(files.drop_null_properties(F.col("data_json"))).first()[0].startswith('{"x":["\\ud800y"')
+
+
 def test_flat_tables(spark, tmp_path):
     df = spark.createDataFrame([("o1", '{"k":"v","items":[{"sku":"a","qty":2},{"sku":"b"}]}', ["t"])], "id string, data_json string, tags array<string>")
     df = df.union(spark.createDataFrame([("o2", '{"tags":["x","y"],"items":[{"sku":"s","sizes":[1,2.50]}],"m":[[1,2],{"q":{"r":1}}],"no":[],"n":[null,true]}', None), ("o3", "[1,[2]]", None), ("o4", '"text"', None), ("o5", "null", None)], df.schema))
